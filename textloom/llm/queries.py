@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from textloom.llm import bpe, exact_dedup, mixing, simhash
+from textloom.llm import bpe, exact_dedup, langid, merkle, mixing, simhash, toxicity, url_filter
 from textloom.llm.common import table
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,24 +20,71 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def fold(folds: int) -> Column:
+    """Which fold a document is in."""
+    return F.crc32(F.col("doc_id").cast("string")) % folds
+
+
+#: Fixed values of the contract: host, path, verdict.
+URL_RULES = (
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+)
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
+    return url_filter.judge(table(spark, sf_dir, "pages"), rules)
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = mixing.sizes(table(spark, sf_dir, "documents"))
     return mixing.assign(sized, key="doc_id", source="source", size="size").drop("source")
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(table(spark, sf_dir, "documents"), fold(3) == 1)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(5) == 0)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode(docs, vocabulary(), ids=None, digests=True).drop("text")
 
 
+OP1_SQL = r"""
+WITH parsed AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+rules(rule_host, rule_path, verdict) AS (
+  VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+         ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+fits AS (
+  SELECT page_id, host, path, rule_host || rule_path AS rule, verdict,
+         row_number() OVER (PARTITION BY page_id, host, path ORDER BY length(rule_host || rule_path) DESC NULLS LAST, length(rule_host) DESC) AS nth
+  FROM parsed LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE nth = 1
+"""
+
 OP3_SQL = rf"""
 WITH sized AS (
   SELECT doc_id, source, source IS NULL AS none,
@@ -80,10 +128,14 @@ FROM hashed
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
     "op3_mix_sources": op3_mix_sources,
+    "op4_language": op4_language,
     "op5_simhash": op5_simhash,
+    "op6_merkle": op6_merkle,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
 }
 
-ORACLES: dict[str, str] = {"op3_mix_sources": OP3_SQL, "op7_exact_dedup": OP7_SQL}
+ORACLES: dict[str, str] = {"op1_url_filter": OP1_SQL, "op3_mix_sources": OP3_SQL, "op7_exact_dedup": OP7_SQL}
