@@ -17,11 +17,13 @@ import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words in a generation of a worker's memory, which holds two; bounds memory, not results.
 CACHE_WORDS = 400_000
@@ -175,12 +177,10 @@ def encode(docs: DataFrame, vocabulary: str, *, text: str = "text", ids: str | N
     string; repeated rows are encoded alike; an empty table stays empty. The vocabulary file
     goes to every executor through Spark; it is a parameter and never copied elsewhere.
     """
-    from pyspark.sql import types as T
-
     spark = docs.sparkSession
     spark.sparkContext.addFile(vocabulary)
     name = vocabulary.rsplit("/", 1)[-1]
-    added = [T.StructField(ids, T.ArrayType(T.LongType(), False))] if ids else []
+    added = [T.StructField(ids, T.ArrayType(T.IntegerType()))] if ids else []
     added += [T.StructField(decoded, T.StringType())] if decoded else []
     if digests:
         added += [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
@@ -195,12 +195,13 @@ def encode(docs: DataFrame, vocabulary: str, *, text: str = "text", ids: str | N
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
                 out: dict[str, list] = {f.name: [] for f in added}
+                all_ids: list[bytes] = []
                 for t in batch.column(wanted.index(text)).to_pylist():
                     packed = bpe.encode_packed(t)
                     row = array("I")
                     row.frombytes(packed)
                     if ids:
-                        out[ids].append(row.tolist())
+                        all_ids.append(packed)
                     if decoded or digests:
                         back = bpe.decode(row)
                         if decoded:
@@ -209,8 +210,12 @@ def encode(docs: DataFrame, vocabulary: str, *, text: str = "text", ids: str | N
                         out["n_tokens"].append(len(row))
                         out["ids_sha256"].append(hashlib.sha256(packed).hexdigest())
                         out["decoded_sha256"].append(hashlib.sha256(back.encode()).hexdigest())
-                types = {f.name: pa.list_(pa.int64()) if f.name == ids else pa.int64() if f.name == "n_tokens" else pa.string() for f in added}
-                columns = [batch.column(wanted.index(c)) for c in kept] + [pa.array(v, types[k]) for k, v in out.items()]
+                if ids:
+                    ends = np.cumsum([0, *(len(p) // 4 for p in all_ids)], dtype=np.int32)
+                    out[ids] = pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(all_ids), np.int32))
+                kind = {"n_tokens": pa.int64()}
+                columns = [batch.column(wanted.index(c)) for c in kept]
+                columns += [v if k == ids else pa.array(v, kind.get(k, pa.string())) for k, v in out.items()]
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, *out])
 
     return docs.select(*[F.col(f"`{c}`") for c in wanted]).mapInArrow(run, schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, exact_dedup, langid, merkle, mixing, simhash, toxicity, url_filter
+from textloom.llm import bpe, exact_dedup, langid, line_dedup, merkle, mixing, simhash, toxicity, url_filter, warc
 from textloom.llm.common import table
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -40,6 +40,11 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), rules)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = line_dedup.decide(table(spark, sf_dir, "documents")).drop("t")
+    return lines.withColumnsRenamed({"no": "line_no", "class_key": "class_doc_id", "class_no": "class_line_no"})
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = mixing.sizes(table(spark, sf_dir, "documents"))
     return mixing.assign(sized, key="doc_id", source="source", size="size").drop("source")
@@ -61,6 +66,12 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    captured = F.timestamp_seconds(F.lit(1_577_836_800) + F.pmod(F.crc32("url"), 31_536_000))
+    return warc.capture_history(pages, time=F.coalesce(captured, F.timestamp_seconds(F.lit(1_577_836_800))))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(5) == 0)
 
@@ -129,11 +140,13 @@ FROM hashed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op2_line_dedup": op2_line_dedup,
     "op3_mix_sources": op3_mix_sources,
     "op4_language": op4_language,
     "op5_simhash": op5_simhash,
     "op6_merkle": op6_merkle,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
 }
