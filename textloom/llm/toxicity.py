@@ -10,6 +10,7 @@ change of the logit is penalised, so that a neutral mention of a group costs not
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +24,7 @@ from textloom.llm.wordtable import WordTable, feature_slots, letters, sums
 
 #: Bound of the training sample: toxic documents, chosen by hash over all; and how many
 #: times as many clean ones.
-SAMPLE_DOCS, CLEAN_TIMES = 1500, 3
+SAMPLE_DOCS, CLEAN_TIMES = 1000, 3
 SLOTS = 1 << 18
 #: A sentence is cut after this many words even if no full stop comes.
 SENTENCE = 40
@@ -130,14 +131,14 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 3, steps: int = 40) ->
         sure = 6.0 if len(truth) and truth.all() else -6.0
         return Model(np.zeros(SLOTS), 0.0, 0.0, sure)
     seen: dict[str, int] = {}
-    at, stop, counts = [], [], []
+    at, stop, counts = array("q"), bytearray(), []
     for text in texts:
         words = text.split()
-        at += [seen.setdefault(letters(w), len(seen)) for w in words]
-        stop += [ends(w) for w in words]
+        at.extend(seen.setdefault(letters(w), len(seen)) for w in words)
+        stop.extend(map(ends, words))
         counts.append(len(words))
-    at, counts = np.array(at, np.int64), np.array(counts, np.int64)
-    starts = sentence_starts(np.array(stop, bool), counts)
+    at, counts = np.frombuffer(at, np.int64), np.array(counts, np.int64)
+    starts = sentence_starts(np.frombuffer(stop, np.bool_), counts)
     length = np.diff(np.append(starts, len(at)))
     sentence_of = np.repeat(np.arange(len(starts)), length)
     document = np.repeat(np.arange(len(counts)), counts)[starts]
