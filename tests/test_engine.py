@@ -78,7 +78,7 @@ def test_chunking(spark):
     assert [len(c) for c in one(spark, chunking.paragraph_chunks(F.lit(long)))] == [600, 802, 1200]
     files = spark.createDataFrame([("docs/a.md", "start\n# One\nx\n## Two\ny\n")], "file_path string, content string")
     rows = chunking.markdown_sections(files).orderBy("start_line").collect()
-    assert [(r.scope_name, r.start_line, r.end_line) for r in rows] == [("Intro", 1, 2), ("# One".strip("# "), 2, 4), ("Two", 4, 6)]
+    assert [(r.scope_name, r.start_line, r.end_line) for r in rows] == [("Intro", 1, 2), ("One", 2, 4), ("Two", 4, 6)]
 
 
 @pytest.fixture(scope="module")
@@ -103,7 +103,7 @@ def test_graph(built):
     top = graph.hubs(nodes, edges, 2).collect()
     assert [(r.id, r.degree) for r in top] == [("file:docs/dec-002-x.md", 2), ("sym:pkg/a.py#run", 2)]
     way = graph.shortest_path(edges, "file:pkg/a.py", "file:docs/dec-002-x.md")
-    assert [k for _, k in way] == [None, "contains", "cites"] or [n for n, _ in way] == ["file:pkg/a.py", "sym:pkg/a.py#run", "file:docs/dec-002-x.md"]
+    assert [n for n, _ in way] == ["file:pkg/a.py", "sym:pkg/a.py#run", "file:docs/dec-002-x.md"]
     assert graph.shortest_path(edges, "file:pkg/b.py", "file:docs/overview.md", 1) == []
     assert [r.id for r in graph.resolve_node(nodes, "overview.md").collect()] == ["file:docs/overview.md"]
     assert len(graph.shortest_path(edges, "file:pkg/a.py", "file:pkg/a.py")) == 1

@@ -1,0 +1,169 @@
+"""Chunkers for source code: Python by its own parser, brace languages and SQL by scanners.
+
+They run in the executors, a file at a time. The scanners know strings, comments and nesting,
+not full grammars: they find declarations, not every construct of a language.
+"""
+
+from __future__ import annotations
+
+import ast
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+#: Kind of scope of each SQL statement.
+SQL_SCOPES = {
+    "create table": "table", "create view": "view", "create function": "function", "create procedure": "procedure", "create index": "index", "create schema": "schema", "create type": "type",
+    "create sequence": "sequence", "alter table": "alter", "drop table": "drop", "drop view": "drop", "drop function": "drop", "drop index": "drop", "select": "query", "insert": "query",
+    "update": "query", "delete": "query", "merge": "query", "truncate": "query",
+}
+BRACED = ("javascript", "typescript", "go", "java", "csharp")
+
+Chunk = tuple[str, str, int, int, str]  # scope type, name, first and last line, content
+
+
+def _lines(text: str, first: int, last: int) -> str:
+    return "\n".join(text.split("\n")[first - 1 : last])
+
+
+def python_chunks(text: str) -> list[Chunk]:
+    """Classes, functions and methods, parents and children; [] if it doesn't parse."""
+    try:
+        tree = ast.parse(text)
+    except (SyntaxError, ValueError, RecursionError):
+        return []
+    found: list[Chunk] = []
+
+    def visit(node: ast.AST, scope: tuple[str, ...], in_class: bool) -> None:
+        for child in ast.iter_child_nodes(node):
+            if isinstance(child, ast.ClassDef | ast.FunctionDef | ast.AsyncFunctionDef):
+                is_class = isinstance(child, ast.ClassDef)
+                name = (*scope, child.name)
+                kind = "class" if is_class else "method" if scope else "function"
+                found.append((kind, ".".join(name), child.lineno, child.end_lineno, _lines(text, child.lineno, child.end_lineno)))
+                visit(child, name, is_class)
+            else:
+                visit(child, scope, in_class)
+
+    visit(tree, (), False)
+    return found
+
+
+def python_imports(text: str) -> list[str]:
+    """Imported modules as written, each once."""
+    try:
+        tree = ast.parse(text)
+    except (SyntaxError, ValueError, RecursionError):
+        return []
+    found: list[str] = []
+    for node in ast.walk(tree):
+        if isinstance(node, ast.Import):
+            found += [a.name for a in node.names]
+        elif isinstance(node, ast.ImportFrom):
+            found.append("." * node.level + (node.module or ""))
+    return list(dict.fromkeys(found))
+
+
+def script_imports(text: str) -> list[str]:
+    """The quoted source of each import or export statement, each once."""
+    return list(dict.fromkeys(re.findall(r"^\s*(?:import|export)\b[^;'\"]*['\"]([^'\"]+)['\"]", text, re.M)))
+
+
+_SKIP = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", re.S)
+_DECLARATION = re.compile(
+    r"\b(?P<kind>class|interface|struct|enum|record)\s+(?P<a>\w+)|\bfunc\s+(?:\([^)]*\)\s*)?(?P<b>\w+)\s*\(|\bfunction\s*\*?\s*(?P<c>\w+)\s*\("
+    r"|\btype\s+(?P<t>\w+)\s+(?:struct|interface)\b|(?:^|[;{}])\s*(?:[\w<>\[\],.?@]+\s+)*(?P<m>\w+)\s*\([^;{}()]*(?:\([^()]*\)[^;{}()]*)*\)\s*(?:[\w\s:<>,.\[\]|]*)$",
+    re.M,
+)
+_NOT_NAMES = {"if", "for", "while", "switch", "catch", "return", "else", "do", "try", "using", "lock", "foreach", "with"}
+
+
+def braced_chunks(text: str) -> list[Chunk]:
+    """Declarations with a body in braces, with dotted names of nested ones."""
+    blank = _SKIP.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
+    found: list[Chunk] = []
+    stack: list[tuple[str, str, int] | None] = []
+    begin = 0
+    for i, c in enumerate(blank):
+        if c in "{};":
+            if c == "{":
+                head = blank[begin:i]
+                m = None
+                for m in _DECLARATION.finditer(head):
+                    pass
+                opened = None
+                if m:
+                    name = next((m[g] for g in ("a", "t", "b", "c", "m") if m[g]), None)
+                    scope = [s for s in stack if s]
+                    if name and name not in _NOT_NAMES:
+                        kind = "class" if m["a"] else "type" if m["t"] else "method" if scope else "function"
+                        opened = (kind, ".".join([*(s[1].split(".")[-1] for s in scope), name]), begin + len(head) - len(head.lstrip()))
+                stack.append(opened)
+            elif c == "}" and stack:
+                opened = stack.pop()
+                if opened:
+                    first, last = text.count("\n", 0, opened[2]) + 1, text.count("\n", 0, i) + 1
+                    found.append((opened[0], opened[1], first, last, _lines(text, first, last)))
+            begin = i + 1
+    return sorted(found, key=lambda x: (x[2], -x[3]))
+
+
+def sql_statements(text: str) -> list[tuple[int, str]]:
+    """(offset, text) of the statements, split at semicolons outside strings and comments."""
+    found, start = [], 0
+    token = re.compile(r"--[^\n]*|/\*.*?\*/|'(?:''|[^'])*'|\"[^\"]*\"|(\$\w*\$).*?\1|;", re.S)
+    for m in token.finditer(text):
+        if m[0] == ";":
+            found.append((start, text[start : m.start()]))
+            start = m.end()
+    found.append((start, text[start:]))
+    return [(at + len(s) - len(s.lstrip()), s.strip()) for at, s in found if s.strip()]
+
+
+def sql_chunks(text: str) -> list[Chunk]:
+    found = []
+    for n, (at, statement) in enumerate(sql_statements(text), 1):
+        words = re.sub(r"--[^\n]*|/\*.*?\*/", " ", statement, flags=re.S)
+        head = " ".join(re.sub(r"\b(or|replace|temp|temporary|unique|materialized|if|not|exists)\b", " ", words[:200], flags=re.I).lower().split()[:2])
+        scope = SQL_SCOPES.get(head) or SQL_SCOPES.get(head.split(" ")[0] if head else "")
+        if scope is None:
+            continue
+        after = {"select": r"\bfrom\s+", "insert": r"\binto\s+", "delete": r"\bfrom\s+", "update": r"^\s*update\s+", "merge": r"\binto\s+", "truncate": r"\btruncate\s+(?:table\s+)?"}.get(head.split(" ")[0], r"\b(?:table|view|function|procedure|index|schema|type|sequence)\s+(?:if\s+(?:not\s+)?exists\s+)?")
+        m = re.search(after + r"([\w.\"]+)", words, re.I)
+        name = m[1].strip('"') if m else f"{scope}_{n}"
+        first = text.count("\n", 0, at) + 1
+        found.append((scope, f"select_{name}" if scope == "query" and head.startswith("select") and m else name, first, first + statement.count("\n"), statement))
+    return found
+
+
+def file_chunks(path: str, language: str, text: str) -> list[Chunk]:
+    """A file's symbols, or the whole file as a module named by its stem."""
+    found = python_chunks(text) if language == "python" else sql_chunks(text) if language == "sql" else braced_chunks(text) if language in BRACED else []
+    name = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+    return found or [("module", name, 1, text.count("\n") + 1, text)]
+
+
+def code_chunks(files: DataFrame) -> DataFrame:
+    """file_path, language, scope_type, scope_name, start_line, end_line and content of the
+    symbols of files (path, language, content)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(p, g, *c) for p, g, t in zip(batch["path"], batch["language"], batch["content"]) for c in file_chunks(p, g, t)]
+            yield pd.DataFrame(rows, columns=["file_path", "language", "scope_type", "scope_name", "start_line", "end_line", "content"])
+
+    return files.select("path", "language", "content").mapInPandas(run, "file_path string, language string, scope_type string, scope_name string, start_line int, end_line int, content string")
+
+
+def imports(files: DataFrame) -> DataFrame:
+    """path and raw_import of Python and script files (path, language, content)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(p, i) for p, g, t in zip(batch["path"], batch["language"], batch["content"]) for i in (python_imports(t) if g == "python" else script_imports(t))]
+            yield pd.DataFrame(rows, columns=["path", "raw_import"])
+
+    kept = files.where("language in ('python', 'javascript', 'typescript')")
+    return kept.select("path", "language", "content").mapInPandas(run, "path string, raw_import string")
