@@ -159,7 +159,7 @@ def compare_with_next(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     kind = docs.schema[key].dataType
     width = max(2, shuffle_width(spark))
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    ranged = rows.repartitionByRange(width, "key", "text").sortWithinPartitions("key", "text")
+    ranged = rows.repartitionByRange(width, "key").sortWithinPartitions("key", "text")
     ranged = ranged.withColumn("part", F.spark_partition_id())
     # `edge`: null in finished rows, else the text of a range's first (head) or last row.
     fields = [("key", kind, pa.null()), ("part", T.IntegerType(), pa.int32()), ("edge", T.StringType(), pa.string()), ("head", T.BooleanType(), pa.bool_())]
