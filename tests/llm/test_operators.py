@@ -233,6 +233,56 @@ def test_links_are_complete(spark):
     assert got == {frozenset((a, b)) for i, a in enumerate(values) for b in values[:i] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 4}
 
 
+def test_similar(spark):
+    rng = random.Random(5)
+    vocabulary = [f"v{i}" for i in range(2000)]
+    rows = [(900, None, "s"), (901, "", "s"), (None, " ", "s"), (902, "one two", "s"), (903, "ONE  two", "s"), (903, "ONE  two", "s"), (None, "three", "s")]
+    for i in range(60):
+        base = [rng.choice(vocabulary) for _ in range(rng.choice((12, 60, 150, 400)))]
+        rows.append((10 * i, " ".join(base), "s"))
+        for j in range(1, 5):
+            words = list(base)
+            for _ in range(max(1, len(words) * j // 100)):
+                words[rng.randrange(len(words))] = rng.choice(vocabulary)
+            rows.append((10 * i + j, " ".join(words), "s"))
+
+    def shingles(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+        return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    sets = [shingles(t) for _, t, _ in rows]
+    share = {(i, j): (len(sets[i] & sets[j]) / len(sets[i] | sets[j]) if sets[i] | sets[j] else 1.0) for i in range(len(rows)) for j in range(i)}
+    wanted = {p for p, x in share.items() if x >= 0.8}
+    assert sum(x < 0.9 for p, x in share.items() if p in wanted) >= 20
+
+    def groups(pairs):
+        group = list(range(len(rows)))
+
+        def top(i):
+            while group[i] != i:
+                i = group[i]
+            return i
+
+        for i, j in pairs:
+            group[top(i)] = top(j)
+        return [top(i) for i in range(len(rows))]
+
+    true = groups(wanted)
+    got = {r.doc_id: r.component_id for r in simhash.similar(docs(spark, rows)).collect() if r.doc_id is not None}
+    keyed = [i for i, r in enumerate(rows) if r[0] is not None]
+    smallest = {g: min(rows[i][0] for i in keyed if true[i] == g) for g in {true[i] for i in keyed}}
+    # No text is joined that no chain of real links joins, and few real groups fall apart.
+    assert all(true[i] == true[j] for i in keyed for j in keyed if got[rows[i][0]] == got[rows[j][0]])
+    missed = [i for i in keyed if got[rows[i][0]] != smallest[true[i]]]
+    assert len(missed) <= 0.02 * len(keyed)
+    assert all(got[rows[i][0]] == got[rows[j][0]] for (i, j), x in share.items() if x >= 0.9 and i in keyed and j in keyed)
+    assert got[900] == got[901] == 900 and got[903] == 902
+    kept = simhash.dedup(docs(spark, rows), groups=simhash.similar)
+    # The text that only a null key has stays too.
+    assert Counter(r.doc_id for r in kept.collect()) == Counter([*set(got.values()), None]) and kept.columns[-1] == "size"
+    assert simhash.similar(docs(spark, [])).count() == 0
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 60) if i % 13], "a long, b long")
     got = {r.node: r.root for r in components(links, "a", "b").collect()}
