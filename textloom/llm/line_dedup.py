@@ -269,11 +269,18 @@ def decide(docs: DataFrame, *, key: str = "doc_id", text: str = "text", edits: i
     links = near_lines(docs, text=text, edits=edits)
     roots = components(links, "x", "y")
     counts = links.select(F.col("x").alias("node")).union(links.select("y")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    linked = written(roots.join(counts, "node"), "line-classes").withColumnRenamed("node", "line")
-    tagged = lines.where("line is not null").join(linked, "line", "left").withColumn("class", F.coalesce("root", "line"))
+    linked = roots.join(counts, "node").withColumnRenamed("node", "line")
     order = F.struct(F.col("key").isNull().alias("none"), F.col("key"), F.col("no"), F.col("t"))
-    firsts = tagged.groupBy("class").agg(F.min(order).alias("first"))
-    real = tagged.join(firsts, "class").select("key", "t", "no", F.col("first.key").alias("class_key"), F.col("first.no").alias("class_no"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (order == F.col("first")).alias("kept"))
+    real = lines.where("line is not null")
+    # Only lines that come again or have links are looked up, and from tables, not aggregates:
+    # so the joins stay plain shuffles, of which skew handling splits a line's copies.
+    once = real.groupBy("line").agg(F.min(order).alias("own"), F.count(F.lit(1)).alias("copies"))
+    again = once.join(linked, "line", "left").where("copies > 1 or root is not null")
+    again = written(again.select("line", "own", "n_links", F.coalesce("root", "line").alias("class")), "lines-again")
+    firsts = written(again.groupBy("class").agg(F.min("own").alias("first")), "class-firsts")
+    named = written(again.join(firsts, "class").select("line", "n_links", "first"), "named-lines")
+    first = F.coalesce("first", order)
+    real = real.join(named, "line", "left").select("key", "t", "no", first["key"].alias("class_key"), first["no"].alias("class_no"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (order == first).alias("kept"))
     blank = lines.where("line is null").select("key", "t", "no", F.col("key").alias("class_key"), F.col("no").alias("class_no"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"))
     return real.unionByName(blank).withColumnRenamed("key", key)
 
