@@ -127,18 +127,25 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     repeated results; other columns play no part; an empty table gives an empty result.
     """
     fps = written(fingerprints(docs, key=key, text=text, shingle=shingle, seed=seed), "fingerprints")
-    distinct = written(fps.groupBy("fp").agg(F.min("key").alias("first")), "distinct-fingerprints")
+    distinct = written(fps.groupBy("fp").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("copies")), "distinct-fingerprints")
     return _named(fps, distinct, links(distinct, bits), key)
 
 
 def _named(fps: DataFrame, distinct: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
-    """The component of each row of `fps`, from the links of its distinct fingerprints."""
+    """The component of each row of `fps`, from the links of its distinct fingerprints.
+
+    Only fingerprints with copies or links are looked up, and from tables, not aggregates:
+    so the joins stay plain shuffles, of which skew handling splits a fingerprint's copies
+    or a component's fingerprints however many they are.
+    """
     roots = components(pairs, "x", "y").withColumnRenamed("node", "fp")
-    grouped = roots.join(distinct.select("fp", "first"), "fp")
-    smallest = grouped.groupBy("root").agg(F.min("first").alias("smallest"))
+    grouped = written(roots.join(distinct.select("fp", "first"), "fp"), "linked-fingerprints")
+    smallest = written(grouped.groupBy("root").agg(F.min("first").alias("smallest")), "component-ids")
     merged = grouped.join(smallest, "root").select("fp", "smallest")
-    named = distinct.join(merged, "fp", "left").select("fp", F.coalesce("smallest", "first").alias("component_id"))
-    return fps.join(named, "fp").select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = distinct.join(merged, "fp", "left").where("copies > 1 or smallest is not null")
+    named = written(named.select("fp", F.coalesce("smallest", "first").alias("component_id")), "named-fingerprints")
+    component = F.coalesce("component_id", "key").alias("component_id")
+    return fps.join(named, "fp", "left").select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component)
 
 
 def set_fingerprint(text: str | None, shingle: int = SET_SHINGLE, seed: int = SEED) -> tuple[bytes, int]:
@@ -222,7 +229,7 @@ def similar(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle
     fps = written(set_fingerprints(docs, key, text, shingle, seed), "set-fingerprints").withColumnRenamed(_WORDS[0], "fp")
     # The text that stands for a fingerprint's copies in the verification.
     chosen = F.min(F.struct("t", *_WORDS[1:], "n")).alias("chosen")
-    distinct = fps.groupBy("fp").agg(F.min("key").alias("first"), chosen).select("fp", "first", "chosen.*")
+    distinct = fps.groupBy("fp").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("copies"), chosen).select("fp", "first", "copies", "chosen.*")
     distinct = written(distinct, "distinct-set-fingerprints")
     pairs = written(close_pairs(distinct.withColumn(_WORDS[0], F.col("fp")), similarity), "close-pairs")
     ids = written(pairs.select(F.col("t_x").alias("id")).union(pairs.select("t_y")).distinct(), "close-texts")
