@@ -283,6 +283,14 @@ def test_similar(spark):
     assert simhash.similar(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("groups", [simhash.near_duplicates, simhash.similar])
+def test_dedup_keeps_a_row_of_each_component(spark, groups):
+    rows = [(None, None, "s"), (None, "alpha beta gamma delta epsilon zeta", "s"), (None, "one two three four five six", "s"), (None, "ONE two three four five six", "s")]
+    rows += [(7, "red green blue black white grey", "s"), (7, "iron gold tin lead zinc copper", "s"), (7, "iron gold tin lead zinc copper", "s"), (8, "iron  gold tin lead zinc copper", "s")]
+    kept = Counter((r.doc_id, " ".join((r.text or "").lower().split())) for r in simhash.dedup(docs(spark, rows), groups=groups).collect())
+    assert kept == Counter([(None, ""), (None, rows[1][1]), (None, rows[2][1]), (7, rows[4][1]), (7, rows[5][1])])
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 60) if i % 13], "a long, b long")
     got = {r.node: r.root for r in components(links, "a", "b").collect()}

@@ -251,12 +251,16 @@ def similar(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle
 
 
 def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", groups=near_duplicates, **how) -> DataFrame:
-    """The rows of `docs` whose key names their component, all columns kept.
+    """One row of `docs` for each component, all columns kept.
 
-    `groups` is near_duplicates or similar. `key` should name each row; of rows that repeat
-    it, one stays per component.
+    `groups` is near_duplicates or similar. The row that stays has the smallest key (null
+    last) and, of rows that repeat it with other texts, the smallest hash of the text; so
+    neither null nor repeated keys take a component's last row away.
     """
-    mark = free_name(docs, "component")
-    keep = groups(docs, key=key, text=text, **how).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias(mark)).distinct()
-    rows = docs.join(keep, F.col(f"`{key}`").eqNullSafe(F.col(mark)), "left_semi")
-    return rows.dropDuplicates([key])
+    k, t = free_name(docs, "key"), free_name(docs, "hash")
+    hashed = F.xxhash64(F.col(f"`{text}`"))
+    row = F.struct(F.col(f"`{key}`").isNull().alias("none"), F.col(f"`{key}`").alias("key"), hashed.alias("t"))
+    named = groups(docs.select(row.alias("row"), F.col(f"`{text}`").alias("text")), key="row", text="text", **how)
+    keep = named.where(F.col("row").eqNullSafe(F.col("component_id"))).select(F.col("row.key").alias(k), F.col("row.t").alias(t)).distinct()
+    rows = docs.withColumn(t, hashed).join(keep.withColumnRenamed(t, f"{t}_"), F.col(f"`{key}`").eqNullSafe(F.col(k)) & (F.col(t) == F.col(f"{t}_")), "left_semi")
+    return rows.dropDuplicates([key, t]).drop(t)
