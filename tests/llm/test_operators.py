@@ -291,6 +291,18 @@ def test_dedup_keeps_a_row_of_each_component(spark, groups):
     assert kept == Counter([(None, ""), (None, rows[1][1]), (None, rows[2][1]), (7, rows[4][1]), (7, rows[5][1])])
 
 
+def test_similar_measures_texts_of_equal_fingerprints(spark):
+    rng, rows = random.Random(11), []
+    for i in range(60):
+        words = [f"q{rng.randrange(10**6)}" for _ in range(7)]
+        rows += [(3 * i, " ".join(words[:6]), "s"), (3 * i + 1, " ".join(words[:5] + words[6:]), "s"), (3 * i + 2, " ".join(words[:5]), "s")]
+    fingerprints = [simhash.set_fingerprint(t)[0] for _, t, _ in rows]
+    assert len(set(fingerprints)) < len(rows) - 20
+    # Shares of 1/3 and 1/2 are no links.
+    assert all(r.component_id == r.doc_id for r in simhash.similar(docs(spark, rows)).collect())
+    assert simhash.dedup(docs(spark, rows), groups=simhash.similar).count() == len(rows)
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 60) if i % 13], "a long, b long")
     got = {r.node: r.root for r in components(links, "a", "b").collect()}

@@ -131,55 +131,58 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     return _named(fps, distinct, links(distinct, bits), key)
 
 
-def _named(fps: DataFrame, distinct: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
-    """The component of each row of `fps`, from the links of its distinct fingerprints.
+def _named(fps: DataFrame, distinct: DataFrame, pairs: DataFrame, key: str, by: str = "fp") -> DataFrame:
+    """The component of each row of `fps`, from the links of its distinct fingerprints, or
+    of what else `by` names.
 
     Only fingerprints with copies or links are looked up, and from tables, not aggregates:
     so the joins stay plain shuffles, of which skew handling splits a fingerprint's copies
     or a component's fingerprints however many they are.
     """
-    roots = components(pairs, "x", "y").withColumnRenamed("node", "fp")
-    grouped = written(roots.join(distinct.select("fp", "first"), "fp"), "linked-fingerprints")
+    roots = components(pairs, "x", "y").withColumnRenamed("node", by)
+    grouped = written(roots.join(distinct.select(by, "first"), by), "linked-fingerprints")
     smallest = written(grouped.groupBy("root").agg(F.min("first").alias("smallest")), "component-ids")
-    merged = grouped.join(smallest, "root").select("fp", "smallest")
-    named = distinct.join(merged, "fp", "left").where("copies > 1 or smallest is not null")
-    named = written(named.select("fp", F.coalesce("smallest", "first").alias("component_id")), "named-fingerprints")
+    merged = grouped.join(smallest, "root").select(by, "smallest")
+    named = distinct.join(merged, by, "left").where("copies > 1 or smallest is not null")
+    named = written(named.select(by, F.coalesce("smallest", "first").alias("component_id")), "named-fingerprints")
     component = F.coalesce("component_id", "key").alias("component_id")
-    return fps.join(named, "fp", "left").select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component)
+    return fps.join(named, by, "left").select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component)
 
 
-def set_fingerprint(text: str | None, shingle: int = SET_SHINGLE, seed: int = SEED) -> tuple[bytes, int]:
-    """WORDS times 64 bits of the SimHash of the set of a whole text's shingles, and its size.
+def set_fingerprint(text: str | None, shingle: int = SET_SHINGLE, seed: int = SEED) -> tuple[bytes, int, int]:
+    """WORDS times 64 bits of the SimHash of the set of a whole text's shingles, its size,
+    and a hash that tells different sets apart.
 
     Where as many shingles have a bit as haven't, the one with the least hash decides, so
     that short texts don't crowd around zero.
     """
     shingles = set(shingles_of(text, shingle))
     if not shingles:
-        return bytes(8 * WORDS), 0
+        return bytes(8 * WORDS), 0, 0
     encoded = [s.encode() for s in shingles]
     parts = [xxhash.xxh64_digest(s, seed) + xxhash.xxh3_128_digest(s, seed) for s in encoded]
     hashes = np.frombuffer(b"".join(parts), np.uint8).reshape(len(parts), 8 * WORDS)
     ones, n = 2 * _ones(hashes), len(parts)
     tie = np.unpackbits(np.frombuffer(min(parts), np.uint8))
-    return np.packbits((ones > n) | ((ones == n) & (tie == 1))).tobytes(), n
+    same = int.from_bytes(xxhash.xxh3_64_digest(b"\n".join(sorted(encoded)), seed), "big", signed=True)
+    return np.packbits((ones > n) | ((ones == n) & (tie == 1))).tobytes(), n, same
 
 
 def set_fingerprints(docs: DataFrame, key: str, text: str, shingle: int, seed: int) -> DataFrame:
-    """key, t (hash of the text), fp and w1.. (bigint words), n (shingles) of every row."""
+    """key, t (hash of the text), w0.. (bigint words), n (shingles), s (hash of their set) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 batch = whole.slice(start, 512)
                 made = [set_fingerprint(t, shingle, seed) for t in batch.column(2).to_pylist()]
-                words = np.frombuffer(b"".join(f for f, _ in made), ">i8").reshape(-1, WORDS).astype(np.int64)
-                columns = [batch.column(0), batch.column(1), *[pa.array(words[:, i]) for i in range(WORDS)], pa.array([n for _, n in made], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "t", *_WORDS, "n"])
+                words = np.frombuffer(b"".join(f for f, _, _ in made), ">i8").reshape(-1, WORDS).astype(np.int64)
+                columns = [batch.column(0), batch.column(1), *[pa.array(words[:, i]) for i in range(WORDS)], pa.array([n for _, n, _ in made], pa.int64()), pa.array([s for _, _, s in made], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "t", *_WORDS, "n", "s"])
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("t"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInArrow(run, f"key {kind}, t bigint, {', '.join(f'{w} bigint' for w in _WORDS)}, n bigint")
+    return rows.mapInArrow(run, f"key {kind}, t bigint, {', '.join(f'{w} bigint' for w in _WORDS)}, n bigint, s bigint")
 
 
 def most_bits(total: int, similarity: float) -> int:
@@ -189,9 +192,13 @@ def most_bits(total: int, similarity: float) -> int:
 
 
 def close_pairs(distinct: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs x, y of `fp` with a segment that differs in one bit at most, near in all bits."""
+    """Pairs x, y of sets `s` with a segment that differs in one bit at most, near in all bits.
+
+    The index holds each fingerprint once; different sets that share one are pairs as well.
+    """
+    sharing = distinct.groupBy("fp").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select(F.col("fp").alias("x"), F.col("fp").alias("y"))
     cuts = [f"cast(shiftrightunsigned({w}, {s}) & {(1 << SEGMENT) - 1}L as int)" for w in _WORDS for s in range(0, 64, SEGMENT)]
-    cut = distinct.select("fp", F.posexplode(F.array(*map(F.expr, cuts))).alias("k", "v"))
+    cut = distinct.select("fp", *_WORDS).distinct().select("fp", F.posexplode(F.array(*map(F.expr, cuts))).alias("k", "v"))
 
     def tag(j: int) -> str:
         return f"shiftleft(k * {SEGMENT + 1} + {j}, {SEGMENT})"
@@ -207,13 +214,13 @@ def close_pairs(distinct: DataFrame, similarity: float = SIMILARITY) -> DataFram
     # In the exact variants both orders of a pair meet; one is enough.
     exact = F.shiftright(x["variant"], SEGMENT) % (SEGMENT + 1) == SEGMENT
     pairs = x.join(y, (x["variant"] == y["variant"]) & near & (~exact | (F.col("x") < F.col("y"))) & (F.col("x") != F.col("y")))
-    pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    a, b = (distinct.select(F.col("fp").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in (*_WORDS[1:], "n", "t")]) for s in "xy")
-    both = pairs.join(a, "x").join(b, "y")
+    pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct().union(sharing)
+    a, b = (distinct.select(F.col("fp").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in (*_WORDS[1:], "n", "t", "s")]) for s in "xy")
+    both = pairs.join(a, "x").join(b, "y").where("x <> y or s_x < s_y")
     bits = sum((F.bit_count(F.col(f"{w}_x").bitwiseXOR(F.col(f"{w}_y"))) for w in _WORDS[1:]), F.bit_count(F.col("x").bitwiseXOR(F.col("y"))))
     # The smaller set can't share more than its size.
     sized = F.least("n_x", "n_y") >= similarity * F.greatest("n_x", "n_y")
-    return both.where((bits <= most_bits(64 * WORDS, similarity)) & sized).select("x", "y", "t_x", "t_y")
+    return both.where((bits <= most_bits(64 * WORDS, similarity)) & sized).select(F.col("s_x").alias("x"), F.col("s_y").alias("y"), "t_x", "t_y")
 
 
 def similar(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SET_SHINGLE, seed: int = SEED, similarity: float = SIMILARITY) -> DataFrame:
@@ -221,15 +228,14 @@ def similar(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle
 
     Texts link if their sets of shingles share `similarity` or more (intersection over
     union), measured on the whole texts of all pairs that the index finds; component_id is
-    the smallest key that links reach. Rows whose 64 bits agree count as copies: at a
-    similarity of 0.7 one pair in a million does. Null and empty texts, and those without
-    words, are copies of each other. Null keys, repeated rows, other columns and an empty
+    the smallest key that links reach. Only texts with equal sets of shingles count as copies
+    unmeasured. Null and empty texts, and those without words, are copies of each other. Null keys, repeated rows, other columns and an empty
     table are as in `near_duplicates`.
     """
     fps = written(set_fingerprints(docs, key, text, shingle, seed), "set-fingerprints").withColumnRenamed(_WORDS[0], "fp")
-    # The text that stands for a fingerprint's copies in the verification.
-    chosen = F.min(F.struct("t", *_WORDS[1:], "n")).alias("chosen")
-    distinct = fps.groupBy("fp").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("copies"), chosen).select("fp", "first", "copies", "chosen.*")
+    # The text that stands for a set's copies in the verification.
+    chosen = F.min(F.struct("t", "fp", *_WORDS[1:], "n")).alias("chosen")
+    distinct = fps.groupBy("s").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("copies"), chosen).select("s", "first", "copies", "chosen.*")
     distinct = written(distinct, "distinct-set-fingerprints")
     pairs = written(close_pairs(distinct.withColumn(_WORDS[0], F.col("fp")), similarity), "close-pairs")
     ids = written(pairs.select(F.col("t_x").alias("id")).union(pairs.select("t_y")).distinct(), "close-texts")
@@ -247,7 +253,7 @@ def similar(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle
                 yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["x", "y"])
 
     both = pairs.join(a, "t_x").join(b, "t_y").select("x", "y", "text_x", "text_y")
-    return _named(fps.select("key", "fp"), distinct, both.mapInArrow(verify, "x bigint, y bigint"), key)
+    return _named(fps.select("key", "fp", "s"), distinct, both.mapInArrow(verify, "x bigint, y bigint"), key, "s")
 
 
 def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", groups=near_duplicates, **how) -> DataFrame:
