@@ -303,6 +303,17 @@ def test_similar_measures_texts_of_equal_fingerprints(spark):
     assert simhash.dedup(docs(spark, rows), groups=simhash.similar).count() == len(rows)
 
 
+@pytest.mark.parametrize("common, left, right", [(4, 0, 1), (8, 0, 2), (16, 2, 2), (64, 0, 16)])
+def test_similar_finds_all_pairs_of_small_sets(spark, common, left, right):
+    rng, rows = random.Random(12), []
+    for i in range(150):
+        words = [f"q{rng.randrange(10**6)}" for _ in range(common + 4)]
+        more = lambda n: [f"p{rng.randrange(10**6)}" for _ in range(n)]
+        rows += [(2 * i, " ".join(words + more(left)), "s"), (2 * i + 1, " ".join(words + more(right)), "s")]
+    got = {r.doc_id: r.component_id for r in simhash.similar(docs(spark, rows)).collect()}
+    assert got == {i: i - i % 2 for i in got} and len(got) == len(rows)
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 60) if i % 13], "a long, b long")
     got = {r.node: r.root for r in components(links, "a", "b").collect()}

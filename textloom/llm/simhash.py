@@ -11,7 +11,8 @@ never make pairs.
 
 Texts that share 0.8 of their shingles differ in some 10 of 64 bits, too many for so few
 segments. `similar` therefore indexes three fingerprints of the set of shingles in 16-bit
-segments by the same variants, and verifies pairs by the shares of their shingles.
+segments by the same variants, and verifies pairs by the shares of their shingles. Of small
+sets, where a bit says little, it finds the pairs exactly, by a join of shingle prefixes.
 """
 
 from __future__ import annotations
@@ -36,6 +37,10 @@ SHINGLE, SEED, BITS = 4, 42, 4
 #: and bits of a segment. Of pairs at 0.8 a share of 0.98 has a segment that differs in one
 #: bit at most, at 0.85 0.999. Wider segments suit more documents, and then need more words.
 SET_SHINGLE, SIMILARITY, WORDS, SEGMENT = 5, 0.8, 3, 16
+#: Pairs with a set of at most EXACT shingles don't depend on fingerprints. For those, the
+#: most frequent shingles, from COMMON sets on and RANKED at most, come last in prefixes;
+#: that bounds work, not results.
+EXACT, COMMON, RANKED = 64, 64, 20_000
 
 LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 _words = re.compile(f"[^{WS}]+").findall
@@ -149,40 +154,42 @@ def _named(fps: DataFrame, distinct: DataFrame, pairs: DataFrame, key: str, by:
     return fps.join(named, by, "left").select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component)
 
 
-def set_fingerprint(text: str | None, shingle: int = SET_SHINGLE, seed: int = SEED) -> tuple[bytes, int, int]:
+def set_fingerprint(text: str | None, shingle: int = SET_SHINGLE, seed: int = SEED) -> tuple[bytes, int, int, np.ndarray]:
     """WORDS times 64 bits of the SimHash of the set of a whole text's shingles, its size,
-    and a hash that tells different sets apart.
+    a hash that tells different sets apart, and the shingles' hashes.
 
     Where as many shingles have a bit as haven't, the one with the least hash decides, so
     that short texts don't crowd around zero.
     """
     shingles = set(shingles_of(text, shingle))
     if not shingles:
-        return bytes(8 * WORDS), 0, 0
+        return bytes(8 * WORDS), 0, 0, np.empty(0, np.int64)
     encoded = [s.encode() for s in shingles]
     parts = [xxhash.xxh64_digest(s, seed) + xxhash.xxh3_128_digest(s, seed) for s in encoded]
     hashes = np.frombuffer(b"".join(parts), np.uint8).reshape(len(parts), 8 * WORDS)
     ones, n = 2 * _ones(hashes), len(parts)
     tie = np.unpackbits(np.frombuffer(min(parts), np.uint8))
     same = int.from_bytes(xxhash.xxh3_64_digest(b"\n".join(sorted(encoded)), seed), "big", signed=True)
-    return np.packbits((ones > n) | ((ones == n) & (tie == 1))).tobytes(), n, same
+    return np.packbits((ones > n) | ((ones == n) & (tie == 1))).tobytes(), n, same, hashes[:, :8].copy().view(np.int64)[:, 0]
 
 
-def set_fingerprints(docs: DataFrame, key: str, text: str, shingle: int, seed: int) -> DataFrame:
-    """key, t (hash of the text), w0.. (bigint words), n (shingles), s (hash of their set) of every row."""
+def set_fingerprints(docs: DataFrame, key: str, text: str, shingle: int, seed: int, most: float) -> DataFrame:
+    """key, t (hash of the text), w0.. (bigint words), n (shingles), s (hash of their set) of
+    every row, and h (hashes of the shingles) of rows that have `most` of them or fewer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 batch = whole.slice(start, 512)
                 made = [set_fingerprint(t, shingle, seed) for t in batch.column(2).to_pylist()]
-                words = np.frombuffer(b"".join(f for f, _, _ in made), ">i8").reshape(-1, WORDS).astype(np.int64)
-                columns = [batch.column(0), batch.column(1), *[pa.array(words[:, i]) for i in range(WORDS)], pa.array([n for _, n, _ in made], pa.int64()), pa.array([s for _, _, s in made], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "t", *_WORDS, "n", "s"])
+                words = np.frombuffer(b"".join(f for f, _, _, _ in made), ">i8").reshape(-1, WORDS).astype(np.int64)
+                columns = [batch.column(0), batch.column(1), *[pa.array(words[:, i]) for i in range(WORDS)], pa.array([n for _, n, _, _ in made], pa.int64()), pa.array([s for _, _, s, _ in made], pa.int64())]
+                columns.append(pa.array([h if 0 < n <= most else None for _, n, _, h in made], pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "t", *_WORDS, "n", "s", "h"])
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("t"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInArrow(run, f"key {kind}, t bigint, {', '.join(f'{w} bigint' for w in _WORDS)}, n bigint, s bigint")
+    return rows.mapInArrow(run, f"key {kind}, t bigint, {', '.join(f'{w} bigint' for w in _WORDS)}, n bigint, s bigint, h array<bigint>")
 
 
 def most_bits(total: int, similarity: float) -> int:
@@ -223,21 +230,55 @@ def close_pairs(distinct: DataFrame, similarity: float = SIMILARITY) -> DataFram
     return both.where((bits <= most_bits(64 * WORDS, similarity)) & sized).select(F.col("s_x").alias("x"), F.col("s_y").alias("y"), "t_x", "t_y")
 
 
+def small_pairs(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs x, y of `sets` (s, t, n, h), one with EXACT shingles at most, that can have
+    `similarity`: none that has it is missing.
+
+    Sets at `similarity` have a shingle in common among the first n - ceil(similarity * n)
+    + 1 of each, in any order that is the same for all; rare shingles first makes few pairs.
+    The first common shingle leaves room for the overlap that similarity needs.
+    """
+    often = sets.select(F.explode("h").alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") >= COMMON)
+    ranks = sets.sparkSession.sparkContext.broadcast({r.v: r.sets for r in often.orderBy(F.desc("sets"), "v").limit(RANKED).collect()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank = ranks.value
+        for batch in batches:
+            own, counts = [], []
+            for n, h in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                counts.append(n - math.ceil(similarity * n - 1e-9) + 1)
+                own += sorted(h, key=lambda v: (rank.get(v, 0), v))[: counts[-1]]
+            at = pa.array(np.repeat(np.arange(len(counts)), counts))
+            place = [i for c in counts for i in range(c)]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), *[batch.column(i).take(at) for i in range(3)], pa.array(place, pa.int32())], names=["v", "s", "t", "n", "at"])
+
+    rows = sets.select("s", "t", "n", "h").mapInArrow(run, "v bigint, s bigint, t bigint, n bigint, at int")
+    rows = written(rows, "shingle-prefixes")
+    x, y = (rows.select("v", *[F.col(c).alias(f"{c}_{side}") for c in ("s", "t", "n", "at")]) for side in "xy")
+    room = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y")) >= similarity / (1 + similarity) * (F.col("n_x") + F.col("n_y")) - 1e-9
+    sized = (F.least("n_x", "n_y") >= similarity * F.greatest("n_x", "n_y") - 1e-9) & (F.least("n_x", "n_y") <= EXACT)
+    pairs = x.join(y, (x["v"] == y["v"]) & (F.col("s_x") < F.col("s_y")) & sized & room)
+    return pairs.select(F.col("s_x").alias("x"), F.col("s_y").alias("y"), "t_x", "t_y").distinct()
+
+
 def similar(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SET_SHINGLE, seed: int = SEED, similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of `docs`: key, fingerprint (16 hex digits), component_id.
 
     Texts link if their sets of shingles share `similarity` or more (intersection over
-    union), measured on the whole texts of all pairs that the index finds; component_id is
+    union), measured on the whole texts of all pairs that the index finds: all there are
+    where a set has EXACT shingles or fewer, else about 0.98 of those at 0.8; component_id is
     the smallest key that links reach. Only texts with equal sets of shingles count as copies
     unmeasured. Null and empty texts, and those without words, are copies of each other. Null keys, repeated rows, other columns and an empty
     table are as in `near_duplicates`.
     """
-    fps = written(set_fingerprints(docs, key, text, shingle, seed), "set-fingerprints").withColumnRenamed(_WORDS[0], "fp")
+    fps = written(set_fingerprints(docs, key, text, shingle, seed, EXACT / similarity + 1), "set-fingerprints").withColumnRenamed(_WORDS[0], "fp")
     # The text that stands for a set's copies in the verification.
     chosen = F.min(F.struct("t", "fp", *_WORDS[1:], "n")).alias("chosen")
     distinct = fps.groupBy("s").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("copies"), chosen).select("s", "first", "copies", "chosen.*")
     distinct = written(distinct, "distinct-set-fingerprints")
-    pairs = written(close_pairs(distinct.withColumn(_WORDS[0], F.col("fp")), similarity), "close-pairs")
+    large = close_pairs(distinct.where(F.col("n") > EXACT).withColumn(_WORDS[0], F.col("fp")), similarity)
+    sets = written(fps.where("h is not null").select("s", "t", "n", "h").dropDuplicates(["s"]), "small-sets")
+    pairs = written(large.union(small_pairs(sets, similarity)), "close-pairs")
     ids = written(pairs.select(F.col("t_x").alias("id")).union(pairs.select("t_y")).distinct(), "close-texts")
     texts = docs.select(F.xxhash64(F.col(f"`{text}`")).alias("t"), F.col(f"`{text}`").alias("text"))
     met = written(texts.join(ids, texts["t"] == ids["id"], "left_semi").dropDuplicates(["t"]), "met-texts")
