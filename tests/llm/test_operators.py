@@ -403,6 +403,25 @@ def test_swapping_identity_terms_changes_little():
     assert neutral[4] > 0.5 and abs(neutral[0] - neutral[1]) < 0.25 and abs(neutral[2] - neutral[3]) < 0.25
 
 
+@pytest.mark.parametrize("joint", ["\u00a0", ".", "/", "_"])
+def test_letters_after_the_first_32_count(joint):
+    toxic = [f"you are scum and filth, number {i} here" for i in range(12)]
+    clean = [f"we live here in peace, number {i} today" for i in range(20)]
+    model = toxicity.fit(toxic + clean, [1] * 12 + [0] * 20)
+    long = joint.join(["we", "live", "here", "in", "peace", "today"] * 3)
+    plain, hidden = model.texts(model.table(), [long, joint.join([long, "you", "are", "scum", "and", "filth"])])
+    assert hidden > plain + 0.01  # equal, if only the first letters count
+    speech = langid.fit(["we live here in peace"] * 4 + ["wir leben hier in frieden"] * 4, ["en"] * 4 + ["de"] * 4)
+    german = joint.join(["we", "live", "here", "in", "peace"] * 2 + ["wir", "leben", "hier", "in", "frieden"] * 20)
+    assert speech.texts(speech.table(), [german])[0][0] == "de"
+
+
+def test_scripts_without_blanks_count_whole():
+    toxic = [f"{'和平生活在这里' * 6}你们都是垃圾人渣{i}。" for i in range(12)]
+    model = toxicity.fit(toxic + [f"{'和平生活在这里' * 8}{i}。" for i in range(20)], [1] * 12 + [0] * 20)
+    assert (model.texts(model.table(), [toxic[3], "和平生活在这里" * 8]) > 0.5).tolist() == [True, False]
+
+
 def test_bpe(spark):
     from tokenizers import Tokenizer
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.crf import marginals
-from textloom.llm.wordtable import WordTable, feature_slots, letters, sums
+from textloom.llm.wordtable import WordTable, feature_slots, letters, sums, words_of
 
 #: Bound of the training sample: documents, chosen by hash over all that may be used.
 SAMPLE_DOCS = 800
@@ -101,7 +101,7 @@ def fit(texts: list[str], langs: list[str], steps: int = 30) -> Model:
     at, counts, truth = [], [], []
     by_lang = [Counter() for _ in languages]
     for text, lang in zip(texts, langs):
-        own = [w for w in map(letters, text.split()) if w]
+        own = [w for w in map(letters, words_of(text)) if w]
         if own:
             at += [seen.setdefault(w, len(seen)) for w in own]
             counts.append(len(own))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import free_name
-from textloom.llm.wordtable import WordTable, feature_slots, letters, sums
+from textloom.llm.wordtable import WordTable, feature_slots, letters, sums, words_of
 
 #: Bound of the training sample: toxic documents, chosen by hash over all; and how many
 #: times as many clean ones.
@@ -133,7 +133,7 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 3, steps: int = 40) ->
     seen: dict[str, int] = {}
     at, stop, counts = array("q"), bytearray(), []
     for text in texts:
-        words = text.split()
+        words = words_of(text)
         at.extend(seen.setdefault(letters(w), len(seen)) for w in words)
         stop.extend(map(ends, words))
         counts.append(len(words))

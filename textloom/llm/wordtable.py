@@ -7,13 +7,32 @@ from collections.abc import Callable
 
 import numpy as np
 
-from textloom.llm.common import WS
-
 #: Words a worker remembers before it starts anew; bounds memory, not results.
 MOST_WORDS = 500_000
 
-words_of = re.compile(f"[^{WS}]+").findall
+#: Longer words are split at what isn't a letter, and longer runs of letters into pieces of
+#: PIECE, which the affix features cover whole.
+LONG, PIECE = 32, 8
+
 _not_letters = re.compile(r"[\W\d_]+")
+_runs = re.compile(r"([\W\d_]*)([^\W\d_]+)([\W\d_]*)").findall
+
+
+def _pieces(word: str) -> list[str]:
+    found = []
+    for before, run, after in _runs(word):
+        cuts = [run[i : i + PIECE] for i in range(0, len(run), PIECE)] if len(run) > LONG else [run]
+        cuts[0], cuts[-1] = before + cuts[0], cuts[-1] + after if len(cuts) > 1 else before + run + after
+        found += cuts
+    return found or [word]
+
+
+def words_of(text: str) -> list[str]:
+    """What stands between Unicode white space, long words in pieces; no letter is left out."""
+    words = text.split()
+    if max(map(len, words), default=0) <= LONG:
+        return words
+    return [p for w in words for p in (_pieces(w) if len(w) > LONG else (w,))]
 
 
 def letters(word: str) -> str:
@@ -26,10 +45,9 @@ def feature_slots(words: list[str], slots: int, prefixes=(), suffixes=(), grams=
     """(slot, word number) of all features of the words, hashed side by side.
 
     The features are the word itself, prefixes and suffixes of the given lengths (only of
-    words longer than that) and the n-grams of the word between marks. Empty words have none; only the
-    first 32 letters of a word count. `slots` is a power of two.
+    words longer than that) and the n-grams of the word between marks. Empty words have none.
+    `words_of` bounds their length. `slots` is a power of two.
     """
-    words = [w[:32] for w in words]
     size = np.fromiter(map(len, words), np.int64, len(words))
     number = np.flatnonzero(size > 0)
     size = size[number]
