@@ -384,6 +384,15 @@ def test_warc(spark):
     assert warc.capture_history(pages.limit(0)).count() == 0
 
 
+def test_warc_of_a_key_with_several_payloads(spark):
+    rows = [(1, "http://a", "x"), (2, "http://b", "x"), (1, "http://c", "y"), (3, "http://d", "y"), (1, "http://e", "z")]
+    got = warc.capture_history(spark.createDataFrame(rows, "page_id long, url string, html string")).toPandas()
+    digest = lambda t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
+    wanted = [(1, "x", "revisit", 2), (2, "x", "response", None), (1, "y", "revisit", 3), (3, "y", "response", None), (1, "z", "response", None)]
+    found = [(r.page_id, r.payload_digest, r.record_type, None if r.refers_to != r.refers_to else r.refers_to) for r in got.itertuples()]
+    assert Counter(found) == Counter((k, digest(t), kind, refers) for k, t, kind, refers in wanted)
+
+
 def test_toxicity(spark):
     source = "/root/testdata/sf0.1"
     texts, labels = spark.read.parquet(f"{source}/documents.parquet"), spark.read.parquet(f"{source}/labels.parquet")

@@ -166,7 +166,7 @@ _ENTRY_SQL = "url_key string, time string, key string, payload_bytes bigint, pay
 
 
 def assign(pages: DataFrame, key: str, html: str, least: int) -> DataFrame:
-    """key and refers_to of the rows whose payload another row's response has.
+    """key, digest and refers_to of the rows whose payload another row's response has.
 
     Of equal payloads of at least `least` bytes the row with the largest key is the
     response. Counting is partly done before the shuffle; only digests travel.
@@ -175,7 +175,7 @@ def assign(pages: DataFrame, key: str, html: str, least: int) -> DataFrame:
     rows = written(pages.select(F.col(f"`{key}`").alias("key"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("size")), "payloads")
     first = rows.where(F.col("size") >= least).groupBy("digest").agg(F.max("key").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 and refers_to is not null")
     again = rows.where(F.col("size") >= least).join(first.drop("n"), "digest").where(~F.col("key").eqNullSafe(F.col("refers_to")))
-    return written(again.select("key", "refers_to").distinct(), "revisits")
+    return written(again.select("key", "digest", "refers_to").distinct(), "revisits")
 
 
 def write(pages: DataFrame, path: str, *, key: str = "page_id", url: str = "url", html: str = "html", time: Column | None = None, least: int = 0, records: int = RECORDS_PER_FILE) -> None:
@@ -188,7 +188,8 @@ def write(pages: DataFrame, path: str, *, key: str = "page_id", url: str = "url"
     again = assign(pages, key, html, least)
     when = F.date_format(time if time is not None else F.lit("2020-01-01").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     rows = pages.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{url}`"), F.lit("")).alias("url"), when.alias("time"), F.coalesce(F.col(f"`{html}`"), F.lit("")).alias("html"))
-    rows = rows.join(again, "key", "left").select(F.col("key").cast("string").alias("key"), "url", "time", "html", F.col("refers_to").cast("string").alias("original"))
+    # A key that comes with several payloads has a decision for each.
+    rows = rows.withColumn("digest", F.sha1("html")).join(again, ["key", "digest"], "left").select(F.col("key").cast("string").alias("key"), "url", "time", "html", F.col("refers_to").cast("string").alias("original"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
