@@ -36,6 +36,20 @@ def test_query_equals_sql(spark, duck, name):
     assert got == sorted(([plain(r[i]) for i in at] for r in wanted.fetchall()), key=repr)
 
 
+def test_line_packing_leaves_no_document_out(spark):
+    texts = spark.read.parquet(f"{DATA}/documents.parquet").where("text is not null").count()
+    assert max(q(spark, DATA).select("doc_id").distinct().count() for n, q in catalogue.QUERIES.items() if n.startswith("line_pack")) == texts
+
+
+def test_line_packing_of_all_equals_sql(spark, tmp_path):
+    texts = ["", "short", "short\n", "a\nb\n\n", "x" * 1500, "y" * 1500 + "\n", "z " * 600 + "\n\n\n", "line of words\n" * 200, None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = {tuple(r) for r in catalogue.QUERIES["line_pack_all"](spark, str(tmp_path)).collect()}
+    assert got == set(con.sql(catalogue.ORACLES["line_pack_all"]).fetchall()) and {r[0] for r in got} == set(range(8))
+
+
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first().x
 

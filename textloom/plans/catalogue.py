@@ -186,6 +186,29 @@ def line_pack_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.select("doc_id", "n", F.sha2("chunk", 256).alias("chunk_sha256"), F.length("chunk").cast("long").alias("n_chars"))
 
 
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+ALL_LINES_SQL = PACK_SQL.format(
+    source="cut AS (SELECT doc_id AS id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN i < len(string_split(text, chr(10))) THEN x || chr(10) ELSE x END), lambda x: x <> '') AS parts FROM documents WHERE text IS NOT NULL), src AS (SELECT id, parts FROM cut WHERE length(text) > 1000 AND len(parts) > 1)",
+    between=0,
+    joint="",
+)
+
+
+@query(f"""
+{ALL_LINES_SQL},
+one AS (SELECT id, text, string_split_regex(regexp_replace(text, '({LINE_END})$', ''), '{LINE_END}') AS x FROM cut WHERE length(text) <= 1000 OR len(parts) <= 1),
+found AS (
+  SELECT id, n, rtrim(chunk, chr(10)) AS chunk FROM chunks
+  UNION ALL
+  SELECT id, 0, CASE WHEN length(text) > 1000 AND len(x) > 10 THEN array_to_string(list_concat(x[1:7], ['{chunking.CUT_MARK}'], x[-3:]), chr(10)) ELSE text END FROM one)
+SELECT id AS doc_id, CAST(n AS INTEGER) AS n, sha256(chunk) AS chunk_sha256, length(chunk) AS n_chars FROM found
+""")
+def line_pack_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As line_pack_chunks, of all documents: also short ones and those of a single line."""
+    chunks = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.line_chunks(F.col("text"))).alias("n", "chunk"))
+    return chunks.select("doc_id", "n", F.sha2("chunk", 256).alias("chunk_sha256"), F.length("chunk").cast("long").alias("n_chars"))
+
+
 PARAGRAPHS_SQL = PACK_SQL.format(
     source="src AS (SELECT conv_id AS id, list_filter(list(trim(text, ' ' || chr(9) || chr(10) || chr(13)) ORDER BY turn), lambda x: x <> '') AS parts FROM conversations WHERE text IS NOT NULL GROUP BY conv_id)",
     between=2,
