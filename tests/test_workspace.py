@@ -55,3 +55,14 @@ def test_index(spark, tmp_path):
     assert incremental == {(r.file_path, r.scope_name) for r in rebuilt.store.table("chunks").collect()}
     assert engine.status()["total_chunks"] == len(incremental) and "other" in engine.symbol_map()
     assert engine.graph("hubs", top_n=3)["hubs"] and engine.graph("explain", "nothing at all")["error"] == "not found"
+
+
+def test_sql_chunks_lose_no_statement():
+    rows = ",\n".join(f"  ({i}, 'value number {i}')" for i in range(100))
+    text = f"GRANT SELECT ON t TO u;\nWITH a AS (SELECT 1) SELECT * FROM a;\nINSERT INTO t VALUES\n{rows};\n-- end"
+    found = code.sql_chunks(text)
+    assert [(c[0], c[1]) for c in found[:2]] == [("statement", "statement_1"), ("statement", "statement_2")]
+    parts = found[2:]
+    assert len(parts) > 1 and [c[1] for c in parts] == [f"t (Parte {i})" for i in range(1, len(parts) + 1)]
+    assert all(len(c[4]) <= 1000 and c[4].split("\n") == text.replace(";", "").split("\n")[c[2] - 1 : c[3]] for c in parts)
+    assert "\n".join(c[4] for c in parts) == f"INSERT INTO t VALUES\n{rows}"
