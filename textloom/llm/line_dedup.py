@@ -259,7 +259,8 @@ def decide(docs: DataFrame, *, key: str = "doc_id", text: str = "text", edits: i
 
     Lines are what stands between line feeds. A class is what equality and near-equality
     connect; its first line, by ascending key (null last), then line number, names it and is
-    the only one kept. n_links counts the other texts within `edits` edits of the line's.
+    the only one kept. n_links counts the other texts within `edits` edits of the line's,
+    none if it or they have fewer than LEAST_CHARS characters.
     Blank lines are classes of their own and always kept. A null text has no lines, an empty
     one a blank line. Rows that repeat key and text are one document, whose lines come as
     often as it does and are decided alike; rows with the same key but other texts are told
