@@ -78,15 +78,55 @@ def test_edit_distance_and_keys():
                 b.pop(min(i, len(b) - 1))
         b = "".join(b)
         for most in (1, 2, 3):
-            wanted = min(distance(a, b), most + 1)
-            assert line_dedup.edit_distance(a, b, most) == wanted
-            if wanted <= most and min(len(a), len(b)) > most:
-                short, long = sorted((a, b), key=len)
-                assert set(line_dedup.keys(short, most)[0]) & set(line_dedup.keys(long, most)[1])
+            assert line_dedup.edit_distance(a, b, most) == line_dedup.edit_distance(list(a), list(b), most) == min(distance(a, b), most + 1)
+
+
+def near(a, b):
+    """The definition of near-equal lines, by full edit distances."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", x) for x in (a, b)]
+    chars, most = min(2, min(len(a), len(b)) // 10), min(3, min(map(len, words)) // 10)
+    return abs(len(a) - len(b)) <= chars and distance(a, b) <= chars or 0 < most >= abs(len(words[0]) - len(words[1])) and distance(*words) <= most
+
+
+def edited(rng, symbols, edits, alphabet):
+    symbols = list(symbols)
+    for _ in range(edits):
+        i, kind = rng.randint(0, len(symbols)), rng.randrange(3)
+        if kind == 0:
+            symbols.insert(i, rng.choice(alphabet))
+        elif kind == 1:
+            symbols[i : i + 1] = []
+        else:
+            symbols[i : i + 1] = [rng.choice(alphabet)]
+    return symbols
+
+
+def test_near_lines_share_a_key():
+    rng, vocabulary = random.Random(6), ["a", "bc", "def", "ghij", "é", "no"]
+    pairs = []
+    for _ in range(2500):
+        line = [rng.choice("ab ") for _ in range(rng.randint(8, 45))]
+        pairs.append(("".join(line), "".join(edited(rng, line, rng.randint(0, 3), "ab "))))
+        line = [rng.choice(vocabulary) for _ in range(rng.randint(8, 70))]
+        pairs.append((" ".join(line), "  ".join(edited(rng, line, rng.randint(0, 4), vocabulary))))
+    lines = line_dedup.Lines([x for p in pairs for x in p])
+    key, line, own = lines.keys()
+    met, probed = [set() for _ in lines.chars], [set() for _ in lines.chars]
+    for k, n, o in zip(key.tolist(), line.tolist(), own.tolist()):
+        probed[n].add(k)
+        if o:
+            met[n].add(k)
+    found = 0
+    for i, (a, b) in enumerate(pairs):
+        assert line_dedup.near_lines_of(a, b) == near(a, b)
+        if a != b and near(a, b):
+            found += 1
+            assert met[2 * i] & probed[2 * i + 1] or met[2 * i + 1] & probed[2 * i]
+    assert found > 1000
 
 
 def line_classes(rows):
-    """Brute force of line_dedup.decide for rows with distinct ids."""
+    """All pairs of different lines, for rows with distinct ids; test_near_lines_share_a_key holds near_lines_of against full distances."""
     first = {}
     for i, t, _ in sorted(rows, key=lambda r: r[0]):
         for n, line in enumerate(t.split("\n") if t is not None else []):
@@ -98,25 +138,28 @@ def line_classes(rows):
             x = group[x]
         return x
 
-    links = Counter()
-    long = sorted(x for x in first if len(x) >= line_dedup.LEAST_CHARS)
-    for i, a in enumerate(long):
-        for b in long[i + 1 :]:
-            if abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2:
-                links[a] += 1
-                links[b] += 1
+    real = sorted(x for x in first if x.strip(line_dedup.BLANK))
+    for i, a in enumerate(real):
+        for b in real[i + 1 :]:
+            if top(a) != top(b) and line_dedup.near_lines_of(a, b):
                 group[top(a)] = top(b)
-    head = {}
+    head, texts = {}, Counter(map(top, first))
     for x in first:
         head[top(x)] = min(head.get(top(x), first[x]), first[x])
-    return {(i, n): ((i, n), 0) if not x.strip() else (head[top(x)], links[x]) for i, t, _ in rows if t is not None for n, x in enumerate(t.split("\n"))}
+    return {(i, n): ((i, n), 1) if not x.strip(line_dedup.BLANK) else (head[top(x)], texts[top(x)]) for i, t, _ in rows if t is not None for n, x in enumerate(t.split("\n"))}
+
+
+def decided(spark, rows):
+    return {(r.doc_id, r.no): ((r.class_key, r.class_no), r.class_texts) for r in line_dedup.decide(docs(spark, rows)).collect()}
 
 
 def test_line_dedup(spark):
     base = "the quick brown fox jumps over the lazy dog"
     rows = [(1, f"{base}\nshort\n\n{base}!", "a"), (2, f"short\n{base[:20]}X{base[20:]}\nnew line of this document", "a"), (3, None, "b"), (4, "", "b"), (5, base.replace("quick", "quack") + "\nfresh\nshort", "b"), (6, "x" * 30000, "c")]
-    found = line_dedup.decide(docs(spark, rows)).collect()
-    assert {(r.doc_id, r.no): ((r.class_key, r.class_no), r.n_links) for r in found} == line_classes(rows)
+    rows += [(7, "nineteen letters ok\nnineteen letterz ok\n" + "\u00a0" * 12 + "\n" + "\u00a0" * 13, "c"), (8, " ".join(f"w{i}" for i in range(30)), "c"), (9, " ".join(f"w{i}" if i % 12 else "another" for i in range(30)), "c")]
+    wanted = line_classes(rows)
+    assert decided(spark, rows) == wanted
+    assert wanted[7, 1] == ((7, 0), 2) and wanted[7, 3] == ((7, 2), 2) and wanted[9, 0] == ((8, 0), 2)
     cleaned = {r.doc_id: (r.text, r.n_chars, r.at) for r in line_dedup.dedup(docs(spark, rows)).collect()}
     assert cleaned[2][0] == "new line of this document" and cleaned[5][0] == "fresh" and cleaned[3][0] is None
     assert all(n == len(t or "") and at == "a" for t, n, at in cleaned.values())
@@ -124,6 +167,16 @@ def test_line_dedup(spark):
     assert line_dedup.decide(docs(spark, [])).count() == 0
 
 
+def test_line_dedup_of_a_large_group(spark):
+    rng, base = random.Random(8), "an order was placed at the counter by the customer"
+    lines = ["".join(edited(rng, base, rng.randint(0, 4), "abc ")) for _ in range(500)]
+    lines += [f"{base} {''.join(rng.choice('abcdefgh') for _ in range(9))}" for _ in range(150)]  # one common segment
+    rows = [(i, x, "s") for i, x in enumerate(lines)]
+    assert decided(spark, rows) == line_classes(rows)
+    links = line_dedup.near_lines(docs(spark, rows))
+    assert links.count() < 3 * len(lines)
+
+
 def test_mixing(spark):
     rows = [(i, "w " * (i % 7), f"s{i % 4}" if i % 4 else None) for i in range(60)]
     sized = mixing.sizes(docs(spark, rows))

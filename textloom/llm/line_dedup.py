@@ -1,19 +1,25 @@
 """Line dedup by a segment-partition edit join (operator 2).
 
-Lines are near-equal when at most EDITS edits turn one into the other. A line is split into
-EDITS + 1 segments of even length; whatever is edited, some segment survives and stands in
-the other line at a place that its number, the lengths and the number of edits bound to a
-few positions. So every line is indexed by its segments under (length, segment number), and
-probes those indexes, for its own length and up to EDITS less, with the substrings at
-these positions (the multi-match-aware selection). An equality join of the hashed keys finds
-candidates, and a banded bit-parallel edit distance verifies them on the lines' texts.
-
-Lines travel as hashes: a Bloom filter of bounded size picks the lines whose text the
-verification needs, and an exact join takes out what it lets through by mistake.
+Lines are near-equal within as many edits as the shorter one allows: of characters one for
+each 10 of its characters, CHARS at most, or of words one for each 10 of its words, WORDS at
+most. So spelling and numbers may differ in short lines, and whole words in long ones.
+
+A line that allows k edits is cut into k + 1 segments at its start, whose size its length
+band sets. Whatever is edited, some segment i survives after exactly i edits, so it stands in
+a line that isn't shorter at a shift from -min(i, k - i) to i. Every line is indexed by its
+segments and probes, for its own band and, where it is hardly longer, the band below, with
+its substrings at those places. A pass over all lines counts which keys two lines meet in; a
+second one brings the lines of those keys, which are compared by banded bit-parallel edit
+distance, but only with lines that they aren't connected to yet (see `buckets`).
+
+Keys are polynomial hashes from prefix sums, made for many lines at once. A Bloom filter of
+bounded size picks the lines of the second pass, and an exact join takes out what it lets
+through by mistake.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,54 +28,48 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import free_name, written
+from textloom.llm import buckets
+from textloom.llm.common import WS, free_name, written
 from textloom.llm.components import components
 from textloom.llm.url_filter import blooms, may_hold
 
-#: Most edits between near-equal lines; shorter lines than LEAST_CHARS must be equal, since
-#: so many edits would change most of them.
-EDITS, LEAST_CHARS = 2, 20
+#: Characters or words of a line for each edit, and the most edits of either kind.
+EACH, CHARS, WORDS = 10, 2, 3
 #: Lines that a task remembers in order not to index a repeated line each time.
 SEEN_LINES = 200_000
+#: Characters whose hashes are made at once (a longer line is one batch); bounds memory.
+BATCH_CHARS = 1 << 19
 
+BLANK = " \t\n\x0b\x0c\r"
+_split = re.compile(f"[^{WS}]+").findall
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
-def segments(length: int, edits: int) -> list[tuple[int, int]]:
-    """(first character, length) of the edits + 1 segments, the longer ones last."""
-    n = edits + 1
-    short, longer = divmod(length, n)
-    found, at = [], 0
-    for i in range(n):
-        size = short + (i >= n - longer)
-        found.append((at, size))
-        at += size
-    return found
+
+def allowed(size: int, most: int) -> int:
+    """Edits that a line of `size` characters or words allows."""
+    return min(most, size // EACH)
 
 
-def selection(edits: int) -> list[tuple[int, int, int]]:
-    """(how much shorter, segment, shift) of the substrings that a line probes."""
-    found = []
-    for shorter in range(edits + 1):
-        for i in range(edits + 1):
-            low, high = max(-i, shorter - (edits - i)), min(i, shorter + (edits - i))
-            found += [(shorter, i, shift) for shift in range(low, high + 1)]
+def bands(most: int) -> list[int]:
+    """The least size of each length band: a fifth more each, never across a change of what
+    is allowed."""
+    found, size = [], EACH
+    while size < 1 << 31:
+        found.append(size)
+        further = max(size + most, size + size // 5)
+        change = (size // EACH + 1) * EACH
+        size = min(further, change) if size < EACH * most else further
     return found
 
 
-def keys(line: str, edits: int = EDITS) -> tuple[list[str], list[str]]:
-    """What a line is indexed under and what it probes, as strings."""
-    n = len(line)
-    own = [f"{n}:{i}:{line[a : a + size]}" for i, (a, size) in enumerate(segments(n, edits))]
-    cuts = [segments(n - d, edits) for d in range(edits + 1)]
-    probes = []
-    for shorter, i, shift in selection(edits):
-        a, size = cuts[shorter][i]
-        if a + shift >= 0 and a + shift + size <= n:
-            probes.append(f"{n - shorter}:{i}:{line[a + shift : a + shift + size]}")
-    return own, probes
+def selection(edits: int) -> list[tuple[int, int]]:
+    """(segment, shift) of the substrings that a line probes in a band of `edits` edits."""
+    return [(i, s) for i in range(edits + 1) for s in range(-min(i, edits - i), i + 1)]
 
 
-def edit_distance(a: str, b: str, most: int) -> int:
-    """Edits between a and b, or most + 1 if there are more.
+def edit_distance(a, b, most: int) -> int:
+    """Edits between the strings or lists a and b, or most + 1 if there are more.
 
     What both begin and end with is stripped; the rest runs through a bit-parallel column
     of differences that holds only the diagonals within `most` of the main one.
@@ -101,7 +101,7 @@ def edit_distance(a: str, b: str, most: int) -> int:
     width = 2 * most + 1
     band, top = (1 << width) - 1, 1 << (width - 1)
     plus, minus = band & ~((1 << most) - 1), 0
-    where: dict[str, int] = {}
+    where: dict = {}
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << (i + most)
     score = min(m, most)  # of the band's lowest row that there is
@@ -123,12 +123,102 @@ def edit_distance(a: str, b: str, most: int) -> int:
     return min(score, most + 1)
 
 
-def _marks(lines: list[str]) -> np.ndarray:
-    """32 parities of each line's characters: an edit changes two of them at most."""
-    text = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
-    size = np.fromiter(map(len, lines), np.int64, len(lines))
-    bits = np.left_shift(np.int64(1), (text & 31).astype(np.int64))
-    return np.bitwise_xor.reduceat(bits, np.cumsum(size) - size)
+class _Powers:
+    """Powers of the hashes' base and of its inverse modulo 2 ** 64, as many as needed yet."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def first(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = max(n, 2 * len(self.up))
+            self.up, self.down = (np.cumprod(np.append(np.uint64(1), np.full(size - 1, x, np.uint64)), dtype=np.uint64) for x in (_BASE, _INVERSE))
+        return self.up[:n], self.down[:n]
+
+
+_powers = _Powers()
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (h ^ (h >> np.uint64(29))) * np.uint64(_BASE)
+
+
+class Hashed:
+    """A sequence of symbols whose substrings have hashes of what stands in them."""
+
+    def __init__(self, symbols: np.ndarray) -> None:
+        up, self.down = _powers.first(len(symbols) + 1)
+        self.sums = np.zeros(len(symbols) + 1, np.uint64)
+        np.cumsum((symbols + np.uint64(1)) * up[:-1], out=self.sums[1:])
+
+    def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return _mixed((self.sums[end] - self.sums[begin]) * self.down[begin])
+
+
+class Lines:
+    """Many lines at once: their characters and words, keys and marks."""
+
+    def __init__(self, lines: list[str]) -> None:
+        self.text = np.frombuffer(("\n".join(lines) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.chars = np.fromiter(map(len, lines), np.int64, len(lines))
+        self.first = np.cumsum(self.chars + 1) - self.chars - 1
+        self.by_char = Hashed(self.text.astype(np.uint64))
+        blank = (self.text == 32) | ((self.text >= 9) & (self.text <= 13))
+        change = np.flatnonzero(np.diff(blank, prepend=True))
+        begin, end = change[::2], change[1::2]  # a line end closes every word
+        self.word_hashes = self.by_char.of(begin, end)
+        self.first_word = np.searchsorted(begin, self.first)
+        self.words = np.diff(np.append(self.first_word, len(begin)))
+        self.by_word = Hashed(self.word_hashes)
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(key, line number, whether the line is indexed under it) of all lines: keys
+        without the mark are only probed."""
+        parts = [(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, bool))]
+        for kind, hashed, first, size, most in ((0, self.by_char, self.first, self.chars, CHARS), (1, self.by_word, self.first_word, self.words, WORDS)):
+            least = np.array(bands(most))
+            band = np.searchsorted(least, size, "right") - 1
+            for lower in (0, 1):  # its own band, and the one below if a line there is near
+                for k in range(1, most + 1):
+                    near = band - lower
+                    on = near >= 0
+                    on[on] = np.minimum(most, least[near[on]] // EACH) == k
+                    if lower:
+                        on[on] = size[on] - k < least[band[on]]
+                    at = np.flatnonzero(on)
+                    if not len(at):
+                        continue
+                    segment = least[near[at]] // (k + 1)
+                    tag = _mixed((near[at] * 2 + kind).astype(np.uint64))
+                    for i, shift in selection(k):
+                        begin = i * segment + shift
+                        fits = (begin >= 0) & (begin + segment <= size[at])
+                        to = first[at[fits]] + begin[fits]
+                        key = _mixed(hashed.of(to, to + segment[fits]) ^ tag[fits] ^ np.uint64(i))
+                        parts.append((key, at[fits], np.full(len(key), not shift and not lower)))
+        key, line, own = (np.concatenate(x) for x in zip(*parts))
+        return key.view(np.int64), line, own
+
+    def marks(self) -> tuple[np.ndarray, np.ndarray]:
+        """64 parities of each line's characters and of its words: an edit changes two."""
+        one = np.uint64(1)
+        chars = np.bitwise_xor.reduceat(one << (self.text & np.uint32(63)).astype(np.uint64), self.first)
+        words = np.zeros(len(self.chars), np.uint64)
+        some = self.words > 0
+        if some.any():
+            words[some] = np.bitwise_xor.reduceat(one << (self.word_hashes >> np.uint64(58)), self.first_word[some])
+        return chars.view(np.int64), words.view(np.int64)
+
+
+def near_lines_of(a: str, b: str) -> bool:
+    """Whether two lines are near-equal."""
+    k = allowed(min(len(a), len(b)), CHARS)
+    if abs(len(a) - len(b)) <= k and edit_distance(a, b, k) <= k:
+        return True
+    a, b = _split(a), _split(b)
+    k = allowed(min(len(a), len(b)), WORDS)
+    return k > 0 and abs(len(a) - len(b)) <= k and edit_distance(a, b, k) <= k
 
 
 def _digest(line: str) -> bytes:
@@ -159,17 +249,21 @@ def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.
             yield batch, [t.split("\n") if t is not None else [] for t in batch.column(column).to_pylist()]
 
 
-def _long_lines(batches: Iterator[pa.RecordBatch], seen: _Seen) -> Iterator[tuple[list[str], list[bytes]]]:
-    """Lines that can have near-equals, each once as far as the task remembers."""
+def _real_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], list[bytes]]]:
+    """Lines long enough to have near-equals, each once as far as the task remembers."""
+    seen, found, digests, size = _Seen(), [], [], 0
     for _, texts in _texts(batches, 0):
-        found, digests = [], []
         for lines in texts:
             for line in lines:
-                if len(line) >= LEAST_CHARS and not line.isspace() and seen.new(d := _digest(line)):
+                if len(line) >= EACH and line.strip(BLANK) and seen.new(d := _digest(line)):
                     found.append(line)
                     digests.append(d)
-        if found:
-            yield found, digests
+                    size += len(line)
+                    if size >= BATCH_CHARS:
+                        yield found, digests
+                        found, digests, size = [], [], 0
+    if found:
+        yield found, digests
 
 
 def identified(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -180,13 +274,12 @@ def identified(docs: DataFrame, key: str, text: str) -> DataFrame:
 def line_table(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, t, no (from 0) and 128-bit digest of every line; null digest: a blank line."""
     kind = docs.schema[key].dataType.simpleString()
-    blank = " \t\n\x0b\x0c\r"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in _texts(batches, 2):
             counts = [len(x) for x in texts]
             at = np.repeat(np.arange(len(counts)), counts)
-            digests = [_digest(line) if line.strip(blank) else None for lines in texts for line in lines]
+            digests = [_digest(line) if line.strip(BLANK) else None for lines in texts for line in lines]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array([i for n in counts for i in range(n)], pa.int32()), pa.array(digests, pa.binary())],
                 names=["key", "t", "no", "line"],
@@ -195,104 +288,103 @@ def line_table(docs: DataFrame, key: str, text: str) -> DataFrame:
     return identified(docs, key, text).mapInArrow(run, f"key {kind}, t bigint, no int, line binary")
 
 
-def candidates(texts: DataFrame, edits: int) -> DataFrame:
-    """Pairs of line ids a, b that share a selected segment and could be near-equal."""
+def line_keys(texts: DataFrame) -> DataFrame:
+    """key, id and own of all lines: see `Lines.keys`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lines, digests in _long_lines(batches, _Seen()):
-            ids, marks = _ids(digests), _marks(lines)
-            found: list[bytes] = []
-            counts = np.empty((len(lines), 2), np.int64)
-            for n, line in enumerate(lines):
-                own, probes = keys(line, edits)
-                counts[n] = len(own), len(probes)
-                found += map(xxhash.xxh64_digest, own + probes)
-            per = counts.sum(1)
-            owner = np.repeat(np.arange(len(lines)), per)
-            place = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
-            variant = np.frombuffer(b"".join(found), np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(variant), pa.array(ids[owner]), pa.array(marks[owner]), pa.array(place >= counts[owner, 0])], names=["variant", "id", "mark", "probe"]
-            )
+        for lines, digests in _real_lines(batches):
+            key, line, own = Lines(lines).keys()
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(_ids(digests)[line]), pa.array(own)], names=["key", "id", "own"])
 
-    rows = texts.mapInArrow(run, "variant bigint, id bigint, mark bigint, probe boolean")
-    # One exchange by variant; what several tasks made of a repeated line is dropped there.
-    rows = rows.repartition("variant").dropDuplicates(["variant", "id", "probe"])
-    index = rows.where("not probe").select("variant", F.col("id").alias("a"), F.col("mark").alias("mark_a"))
-    probes = rows.where("probe").select("variant", F.col("id").alias("b"), F.col("mark").alias("mark_b"))
-    close = F.bit_count(F.col("mark_a").bitwiseXOR(F.col("mark_b"))) <= 2 * edits
-    pairs = index.join(probes, (index["variant"] == probes["variant"]) & (F.col("a") != F.col("b")) & close)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return texts.mapInArrow(run, "key bigint, id bigint, own boolean")
 
 
-def near_lines(docs: DataFrame, *, text: str = "text", edits: int = EDITS) -> DataFrame:
-    """x, y: digests of all pairs of different lines within `edits` edits, x below y."""
-    texts = docs.select(F.col(f"`{text}`").alias("text"))
-    pairs = written(candidates(texts, edits), "line-pairs")
-    ids = written(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct(), "line-ids")
-    filled = docs.sparkSession.sparkContext.broadcast(blooms(ids)[0])
+def met_lines(texts: DataFrame, live: DataFrame) -> DataFrame:
+    """line (digest), content, sizes, marks and keys (with `own`) of the lines that have
+    keys in `live`, and of some more that the filter lets through."""
+    filled = texts.sparkSession.sparkContext.broadcast(blooms(live)[0])
 
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lines, digests in _long_lines(batches, _Seen()):
-            own = _ids(digests)
-            at = np.flatnonzero(may_hold(filled.value, own))
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array([digests[i] for i in at], pa.binary()), pa.array([lines[i] for i in at], pa.string())], names=["id", "line", "content"])
-
-    met = texts.mapInArrow(fetch, "id bigint, line binary, content string")
-    met = written(met.join(ids, met["id"] == ids["h"], "left_semi").dropDuplicates(["id", "line"]), "line-texts")
-    a, b = (met.select(F.col("id").alias(s), F.col("line").alias(f"line_{s}"), F.col("content").alias(f"content_{s}")) for s in "ab")
-    both = pairs.join(a, "a").join(b, "b").select("line_a", "content_a", "line_b", "content_b")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = [edit_distance(x, y, edits) <= edits for x, y in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist())]
-            kept = batch.filter(pa.array(near, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(2)], names=["x", "y"])
-
-    found = both.mapInArrow(verify, "x binary, y binary")
-    return written(found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "line-links")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lines, digests in _real_lines(batches):
+            made = Lines(lines)
+            key, line, own = made.keys()
+            kept = np.flatnonzero(may_hold(filled.value, key))
+            if not len(kept):
+                continue
+            kept = kept[np.argsort(line[kept], kind="stable")]
+            at, counts = np.unique(line[kept], return_counts=True)
+            ends = pa.array(np.append(0, np.cumsum(counts)), pa.int32())
+            marks = [m[at] for m in made.marks()]
+            columns = [pa.array([digests[i] for i in at], pa.binary()), pa.array([lines[i] for i in at], pa.string()), pa.array(made.chars[at]), pa.array(made.words[at]), *map(pa.array, marks)]
+            columns += [pa.ListArray.from_arrays(ends, pa.array(key[kept])), pa.ListArray.from_arrays(ends, pa.array(own[kept]))]
+            yield pa.RecordBatch.from_arrays(columns, names=["line", "content", "chars", "words", "char_mark", "word_mark", "keys", "owns"])
+
+    return texts.mapInArrow(run, "line binary, content string, chars bigint, words bigint, char_mark bigint, word_mark bigint, keys array<bigint>, owns array<boolean>")
+
+
+def _near(batch: pa.RecordBatch):
+    """The comparisons of `buckets.links` for lines."""
+    chars, words, char_mark, word_mark, own = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("chars", "words", "char_mark", "word_mark", "own_key"))
+    content = batch.column("content")
+
+    def likely(at: np.ndarray, y: int) -> np.ndarray:
+        near = np.zeros(len(at), bool)
+        for size, mark, most in ((chars, char_mark, CHARS), (words, word_mark, WORDS)):
+            k = np.minimum(most, np.minimum(size[at], size[y]) // EACH)
+            near |= (k > 0) & (np.abs(size[at] - size[y]) <= k) & (np.bitwise_count((mark[at] ^ mark[y]).view(np.uint64)) <= 2 * k)
+        return at[near & (own[at] | own[y])]
+
+    return likely, lambda x, y: near_lines_of(content[x].as_py(), content[y].as_py())
+
+
+def near_lines(docs: DataFrame, *, text: str = "text") -> DataFrame:
+    """x, y: digests of near-equal lines, a forest that connects what all pairs connect."""
+    texts = docs.select(F.col(f"`{text}`").alias("text"))
+    keys = line_keys(texts).groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.max("own").alias("own"))
+    live = written(keys.where("a <> b and own").select(F.col("key").alias("h")), "live-keys")
+    met = written(met_lines(texts, live).dropDuplicates(["line"]), "met-lines")
+    rows = met.select(*[c for c in met.columns if c not in ("keys", "owns")], F.explode(F.arrays_zip("keys", "owns")).alias("k"))
+    rows = rows.select("*", F.col("k.keys").alias("bucket"), F.col("k.owns").alias("own_key")).drop("k")
+    rows = written(rows.join(live, rows["bucket"] == live["h"], "left_semi"), "line-buckets")
+    return written(buckets.links(rows, "bucket", "line", _near), "line-links")
 
 
-def decide(docs: DataFrame, *, key: str = "doc_id", text: str = "text", edits: int = EDITS) -> DataFrame:
-    """One row per line: key, t, no, class_key, class_no, n_links and kept.
+def decide(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per line: key, t, no, class_key, class_no, class_texts and kept.
 
     Lines are what stands between line feeds. A class is what equality and near-equality
     connect; its first line, by ascending key (null last), then line number, names it and is
-    the only one kept. n_links counts the other texts within `edits` edits of the line's,
-    none if it or they have fewer than LEAST_CHARS characters.
+    the only one kept. class_texts counts the different texts in the class. A line under 10
+    characters allows no edit, so it is connected to equal ones only.
     Blank lines are classes of their own and always kept. A null text has no lines, an empty
     one a blank line. Rows that repeat key and text are one document, whose lines come as
     often as it does and are decided alike; rows with the same key but other texts are told
     apart by t. Lines of any length take part whole. An empty table gives an empty result.
     """
     lines = written(line_table(docs, key, text), "lines")
-    links = near_lines(docs, text=text, edits=edits)
-    roots = components(links, "x", "y")
-    counts = links.select(F.col("x").alias("node")).union(links.select("y")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    linked = roots.join(counts, "node").withColumnRenamed("node", "line")
+    roots = components(near_lines(docs, text=text), "x", "y").withColumnRenamed("node", "line")
     order = F.struct(F.col("key").isNull().alias("none"), F.col("key"), F.col("no"), F.col("t"))
     real = lines.where("line is not null")
     # Only lines that come again or have links are looked up, and from tables, not aggregates:
     # so the joins stay plain shuffles, of which skew handling splits a line's copies.
     once = real.groupBy("line").agg(F.min(order).alias("own"), F.count(F.lit(1)).alias("copies"))
-    again = once.join(linked, "line", "left").where("copies > 1 or root is not null")
-    again = written(again.select("line", "own", "n_links", F.coalesce("root", "line").alias("class")), "lines-again")
-    firsts = written(again.groupBy("class").agg(F.min("own").alias("first")), "class-firsts")
-    named = written(again.join(firsts, "class").select("line", "n_links", "first"), "named-lines")
-    first = F.coalesce("first", order)
-    real = real.join(named, "line", "left").select("key", "t", "no", first["key"].alias("class_key"), first["no"].alias("class_no"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (order == first).alias("kept"))
-    blank = lines.where("line is null").select("key", "t", "no", F.col("key").alias("class_key"), F.col("no").alias("class_no"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"))
+    again = once.join(roots, "line", "left").where("copies > 1 or root is not null")
+    again = written(again.select("line", "own", F.coalesce("root", "line").alias("class")), "lines-again")
+    firsts = written(again.groupBy("class").agg(F.min("own").alias("first"), F.count(F.lit(1)).alias("class_texts")), "class-firsts")
+    named = written(again.join(firsts, "class").select("line", "class_texts", "first"), "named-lines")
+    first, one = F.coalesce("first", order), F.lit(1).cast("long").alias("class_texts")
+    real = real.join(named, "line", "left").select("key", "t", "no", first["key"].alias("class_key"), first["no"].alias("class_no"), F.coalesce("class_texts", one).alias("class_texts"), (order == first).alias("kept"))
+    blank = lines.where("line is null").select("key", "t", "no", F.col("key").alias("class_key"), F.col("no").alias("class_no"), one, F.lit(True).alias("kept"))
     return real.unionByName(blank).withColumnRenamed("key", key)
 
 
-def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: str = "n_chars", edits: int = EDITS) -> DataFrame:
+def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: str = "n_chars") -> DataFrame:
     """`docs` with only the kept lines in their texts; `length`, if there, counted anew.
 
     Every row stays, even one that has lost all its lines: its text is then empty. Of rows
     that repeat key and text all lose or keep the same lines.
     """
-    gone = decide(docs, key=key, text=text, edits=edits).where("not kept")
+    gone = decide(docs, key=key, text=text).where("not kept")
     k, t, drop = (free_name(docs, x) for x in ("key", "t", "drop"))
     gone = gone.groupBy(F.col(key).alias(k), F.col("t").alias(t)).agg(F.collect_set("no").alias(drop))
     rows = docs.join(gone, F.col(f"`{key}`").eqNullSafe(F.col(k)) & (F.xxhash64(F.col(f"`{text}`")) == F.col(t)), "left").drop(k, t)
