@@ -104,7 +104,7 @@ def edited(rng, symbols, edits, alphabet):
 def test_near_lines_share_a_key():
     rng, vocabulary = random.Random(6), ["a", "bc", "def", "ghij", "é", "no"]
     pairs = []
-    for _ in range(2500):
+    for _ in range(1000):
         line = [rng.choice("ab ") for _ in range(rng.randint(8, 45))]
         pairs.append(("".join(line), "".join(edited(rng, line, rng.randint(0, 3), "ab "))))
         line = [rng.choice(vocabulary) for _ in range(rng.randint(8, 70))]
@@ -122,7 +122,7 @@ def test_near_lines_share_a_key():
         if a != b and near(a, b):
             found += 1
             assert met[2 * i] & probed[2 * i + 1] or met[2 * i + 1] & probed[2 * i]
-    assert found > 1000
+    assert found > 400
 
 
 def line_classes(rows):
@@ -169,7 +169,7 @@ def test_line_dedup(spark):
 
 def test_line_dedup_of_a_large_group(spark):
     rng, base = random.Random(8), "an order was placed at the counter by the customer"
-    lines = ["".join(edited(rng, base, rng.randint(0, 4), "abc ")) for _ in range(500)]
+    lines = ["".join(edited(rng, base, rng.randint(0, 4), "abc ")) for _ in range(300)]
     lines += [f"{base} {''.join(rng.choice('abcdefgh') for _ in range(9))}" for _ in range(150)]  # one common segment
     rows = [(i, x, "s") for i, x in enumerate(lines)]
     assert decided(spark, rows) == line_classes(rows)
@@ -282,8 +282,24 @@ def test_links_are_complete(spark):
     values = [rng.getrandbits(64) - (1 << 63) for _ in range(40)]
     values += [v ^ sum(1 << b for b in rng.sample(range(63), k)) for v in values[:30] for k in (1, 2, 3, 4, 5)]
     values = list(dict.fromkeys(values))
-    got = {frozenset(r) for r in simhash.links(spark.createDataFrame([(v,) for v in values], "fp long")).collect()}
-    assert got == {frozenset((a, b)) for i, a in enumerate(values) for b in values[:i] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 4}
+    found = simhash.links(spark.createDataFrame([(v,) for v in values], "fp long")).collect()
+    group = {v: v for v in values}
+
+    def top(v):
+        while group[v] != v:
+            v = group[v]
+        return v
+
+    for i, x in enumerate(values):
+        for y in values[:i]:
+            if ((x ^ y) & (1 << 64) - 1).bit_count() <= 4:
+                group[top(x)] = top(y)
+    roots = {r.node: r.root for r in components(spark.createDataFrame(found), "x", "y").collect()}
+    least = {}
+    for v in sorted(values):
+        least.setdefault(top(v), v)
+    assert {v: roots.get(v, v) for v in values} == {v: least[top(v)] for v in values}
+    assert all(((r.x ^ r.y) & (1 << 64) - 1).bit_count() <= 4 for r in found)
 
 
 def test_similar(spark):

@@ -42,11 +42,11 @@ class Forest(dict):
         self[self.root(x)] = self.root(y)
 
 
-def dealt(rows: DataFrame, bucket: str, node: str) -> DataFrame:
+def dealt(rows: DataFrame, bucket: str, node: str, most: int = MOST_BLOCK) -> DataFrame:
     """`rows` (a written table) in the groups of their buckets: adds lo, hi and own, the
     blocks that meet and the row's; sorted by bucket, lo and hi inside partitions."""
     hot = rows.groupBy(bucket).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > LEAST_BLOCK)
-    block = F.greatest(F.lit(LEAST_BLOCK), F.least(F.lit(MOST_BLOCK), 8 * F.sqrt("size")))
+    block = F.greatest(F.lit(LEAST_BLOCK), F.least(F.lit(most), 8 * F.sqrt("size")))
     hot = written(hot.select(bucket, F.ceil(F.col("size") / block).cast("int").alias("blocks")), "hot-buckets")
     blocks = F.coalesce("blocks", F.lit(1))
     spread = rows.join(hot, bucket, "left").withColumn("own", F.pmod(F.xxhash64(node, F.lit("block")), blocks).cast("int"))
@@ -78,11 +78,11 @@ def _begins(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def links(rows: DataFrame, bucket: str, node: str, near: Callable) -> DataFrame:
+def links(rows: DataFrame, bucket: str, node: str, near: Callable, most: int = MOST_BLOCK) -> DataFrame:
     """x, y: a forest over the nodes of `rows` that connects all near ones of a bucket.
 
     `near(batch)` gives `likely(at, y)` (which of the rows `at` may be near row y, in bulk)
-    and `sure(x, y)` (whether they are), on the rows of a batch.
+    and `sure(x, y)` (whether they are), on the rows of a batch. `most` bounds a block.
     """
     kind = rows.schema[node].dataType.simpleString()
 
@@ -119,4 +119,4 @@ def links(rows: DataFrame, bucket: str, node: str, near: Callable) -> DataFrame:
                 x, y = zip(*found)
                 yield pa.RecordBatch.from_arrays([pa.array(x, batch.column(node).type), pa.array(y, batch.column(node).type)], names=["x", "y"])
 
-    return dealt(rows, bucket, node).mapInArrow(run, f"x {kind}, y {kind}")
+    return dealt(rows, bucket, node, most).mapInArrow(run, f"x {kind}, y {kind}")

@@ -15,8 +15,9 @@ def _state(edges: DataFrame) -> tuple:
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """node, root (the smallest node it reaches) for every node of a link.
 
-    Each round is a table in the shared folder, so no lineage builds up. The driver sees
-    only a count and a checksum. The number of rounds grows with the logarithm of the
+    Each step is a table in the shared folder, so no lineage builds up, and edges meet the
+    table of their nodes' least neighbours in plain joins, whose skew can be split if a node
+    has very many. The driver sees only a count and a checksum. The number of rounds grows with the logarithm of the
     longest chain.
     """
     edges = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct()
@@ -24,10 +25,10 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     state = _state(edges)
     while state[0]:
         both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = written(large, "large-star")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
         edges = written(small.union(least).distinct(), "small-star")
         before, state = state, _state(edges)

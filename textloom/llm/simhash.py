@@ -1,18 +1,18 @@
 """SimHash near-dedup with deletion-variant signatures (operator 5).
 
 Fingerprints that differ in at most BITS bits, cut into so few segments that some segment
-differs in at most one bit, agree in that segment either exactly or with one bit as a
-wildcard. So each distinct fingerprint is indexed by its segments and by one wildcard
-variant per bit: one side of the join holds the variants of its 0 bits, the other those of
-its 1 bits, so that a pair meets once per segment and not once per wildcard. An equality
-join finds the pairs, the count of differing bits verifies them inside the join, and the
-verified links go to distributed connected components. Copies share a fingerprint and
-never make pairs.
+differs in at most one bit, agree in that segment if that bit is a wildcard. So each distinct
+fingerprint is indexed by the variants of its segments with one bit deleted. An equality
+join that tests the differing bits keeps what meets a near one, at most one row per variant
+however many are near; in each variant these are compared until they are connected (see
+`buckets`), and the links go to distributed connected components. Copies share a
+fingerprint and are collapsed first.
 
 Texts that share 0.8 of their shingles differ in some 10 of 64 bits, too many for so few
 segments. `similar` therefore indexes three fingerprints of the set of shingles in 16-bit
-segments by the same variants, and verifies pairs by the shares of their shingles. Of small
-sets, where a bit says little, it finds the pairs exactly, by a join of shingle prefixes.
+segments by the same variants, tests all their bits in the join, and verifies by the shares
+of their shingles. Of small sets, where a bit says little, it finds all pairs by the
+shingles they begin with.
 """
 
 from __future__ import annotations
@@ -25,9 +25,10 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm import buckets
 from textloom.llm.common import WS, free_name, written
 from textloom.llm.components import components
 
@@ -42,6 +43,9 @@ SET_SHINGLE, SIMILARITY, WORDS, SEGMENT = 5, 0.8, 3, 16
 #: that bounds work, not results.
 EXACT, COMMON, RANKED = 64, 64, 20_000
 
+#: Sets of a block, with their hashes, that meet another block at most; bounds memory.
+MEMBERS = 2_000
+
 LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 _words = re.compile(f"[^{WS}]+").findall
 #: Row v holds the bits of byte v, the highest first.
@@ -96,31 +100,42 @@ def segments(bits: int = BITS) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
-def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
-    """Verified pairs x, y of the distinct fingerprints `fp` that differ in `bits` or less."""
-    segs = segments(bits)
-    width = max(w for _, w in segs)
+def differing(words: list[str], a: str, b: str) -> Column:
+    """How many bits of the columns `words` of a and b differ."""
+    return sum((F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))) for w in words[1:]), F.bit_count(F.col(f"{a}.{words[0]}").bitwiseXOR(F.col(f"{b}.{words[0]}"))))
 
-    def value(first: int, w: int) -> str:
-        return f"(shiftrightunsigned(fp, {first}) & {(1 << w) - 1}L)"
 
-    exact = [f"{value(s, w)} | {(64 + k) << width}L" for k, (s, w) in enumerate(segs)]
-    zero, one = list(exact), list(exact)
-    for s, w in segs:
-        for j in range(s, s + w):
-            own = f"(shiftrightunsigned(fp, {j}) & 1L)"
-            zero.append(f"if({own} = 0L, {value(s, w)} | {j << width}L, null)")
-            one.append(f"if({own} = 1L, ({value(s, w)} & {~(1 << (j - s))}L) | {j << width}L, null)")
+def met(rows: DataFrame, node: str, cuts: list[tuple[str, int, int]], near: Column) -> DataFrame:
+    """`rows` under each one-wildcard variant (column `variant`) in which they meet a near row.
+
+    `cuts` are segments: word column, first bit, width. A segment has a variant for each of
+    its bits, that bit cleared and named in the variant, so segments that differ in one bit
+    or none have a variant in common. Rows meet in a semi-join: a row comes at most once per
+    variant however many are near it. `near` compares aliases l and r.
+    """
+    width = max(w for _, _, w in cuts)
+    variants, bit = [], 0
+    for word, first, w in cuts:
+        value = f"(shiftrightunsigned({word}, {first}) & {(1 << w) - 1}L)"
+        for j in range(w):
+            variants.append(f"cast(({value} & {~(1 << j)}L) | {bit << width}L as int)")
+            bit += 1
+    index = rows.select("*", F.explode(F.array(*map(F.expr, variants))).alias("variant"))
+    same = (F.col("l.variant") == F.col("r.variant")) & (F.col(f"l.{node}") != F.col(f"r.{node}"))
+    return index.alias("l").join(index.alias("r"), same & near, "left_semi")
+
+
+def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
+    """x, y: a forest over the distinct fingerprints `fp` that connects all that differ in
+    `bits` or less."""
+    near = differing(["fp"], "l", "r") <= bits
+    rows = written(met(distinct.select("fp"), "fp", [("fp", a, w) for a, w in segments(bits)], near), "met-fingerprints")
 
-    def index(variants: list[str], name: str) -> DataFrame:
-        rows = distinct.select(F.col("fp").alias(name), F.explode(F.array(*map(F.expr, variants))).alias("variant"))
-        return rows.where("variant is not null")
+    def compare(batch: pa.RecordBatch):
+        fp = batch.column("fp").to_numpy()
+        return lambda at, y: at[np.bitwise_count((fp[at] ^ fp[y]).view(np.uint64)) <= bits], lambda x, y: True
 
-    x, y = index(zero, "x"), index(one, "y")
-    near = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= bits
-    # In the exact variants both orders of a pair meet; one is enough.
-    once = (x["variant"] < F.lit(64 << width)) | (F.col("x") < F.col("y"))
-    return x.join(y, (x["variant"] == y["variant"]) & near & once & (F.col("x") != F.col("y"))).select("x", "y")
+    return written(buckets.links(rows, "variant", "fp", compare), "fingerprint-links")
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, seed: int = SEED, bits: int = BITS) -> DataFrame:
@@ -198,44 +213,42 @@ def most_bits(total: int, similarity: float) -> int:
     return math.ceil(total * p + 4 * math.sqrt(total * p * (1 - p)))
 
 
-def close_pairs(distinct: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs x, y of sets `s` with a segment that differs in one bit at most, near in all bits.
+def _near_sets(similarity: float):
+    """The comparison of sets for `buckets.links`: near in all bits (unless one is small) and
+    in size, since the smaller set can't share more than it has."""
+    most = most_bits(64 * WORDS, similarity)
+
+    def compare(batch: pa.RecordBatch):
+        words = np.stack([batch.column(w).to_numpy() for w in _WORDS])
+        n = batch.column("n").to_numpy()
+
+        def likely(at: np.ndarray, y: int) -> np.ndarray:
+            least, largest = np.minimum(n[at], n[y]), np.maximum(n[at], n[y])
+            at = at[least >= similarity * largest - 1e-9]
+            bits = np.bitwise_count((words[:, at] ^ words[:, y, None]).view(np.uint64)).sum(0)
+            return at[(bits <= most) | (np.minimum(n[at], n[y]) <= EXACT)]
+
+        return likely, lambda x, y: True
+
+    return compare
+
+
+def close_sets(distinct: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """x, y: a forest over the sets `s` that connects those with a segment that differs in one
+    bit at most and that are near in all bits and in size."""
+    sized = F.least("l.n", "r.n") >= similarity * F.greatest("l.n", "r.n") - 1e-9
+    near = sized & (differing(_WORDS, "l", "r") <= most_bits(64 * WORDS, similarity))
+    cuts = [(w, first, SEGMENT) for w in _WORDS for first in range(0, 64, SEGMENT)]
+    rows = written(met(distinct.select("s", *_WORDS, "n"), "s", cuts, near), "met-sets")
+    return buckets.links(rows, "variant", "s", _near_sets(similarity))
 
-    The index holds each fingerprint once; different sets that share one are pairs as well.
-    """
-    sharing = distinct.groupBy("fp").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select(F.col("fp").alias("x"), F.col("fp").alias("y"))
-    cuts = [f"cast(shiftrightunsigned({w}, {s}) & {(1 << SEGMENT) - 1}L as int)" for w in _WORDS for s in range(0, 64, SEGMENT)]
-    cut = distinct.select("fp", *_WORDS).distinct().select("fp", F.posexplode(F.array(*map(F.expr, cuts))).alias("k", "v"))
-
-    def tag(j: int) -> str:
-        return f"shiftleft(k * {SEGMENT + 1} + {j}, {SEGMENT})"
-
-    def index(bit: int, name: str) -> DataFrame:
-        variants = [f"{tag(SEGMENT)} | v"]
-        variants += [f"if((v & {1 << j}) {'<>' if bit else '='} 0, {tag(j)} | (v & {~(1 << j)}), null)" for j in range(SEGMENT)]
-        rows = cut.select(F.col("fp").alias(name), F.explode(F.array(*map(F.expr, variants))).alias("variant"))
-        return rows.where("variant is not null")
-
-    x, y = index(0, "x"), index(1, "y")
-    near = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= most_bits(64, similarity)
-    # In the exact variants both orders of a pair meet; one is enough.
-    exact = F.shiftright(x["variant"], SEGMENT) % (SEGMENT + 1) == SEGMENT
-    pairs = x.join(y, (x["variant"] == y["variant"]) & near & (~exact | (F.col("x") < F.col("y"))) & (F.col("x") != F.col("y")))
-    pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct().union(sharing)
-    a, b = (distinct.select(F.col("fp").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in (*_WORDS[1:], "n", "t", "s")]) for s in "xy")
-    both = pairs.join(a, "x").join(b, "y").where("x <> y or s_x < s_y")
-    bits = sum((F.bit_count(F.col(f"{w}_x").bitwiseXOR(F.col(f"{w}_y"))) for w in _WORDS[1:]), F.bit_count(F.col("x").bitwiseXOR(F.col("y"))))
-    # The smaller set can't share more than its size.
-    sized = F.least("n_x", "n_y") >= similarity * F.greatest("n_x", "n_y")
-    return both.where((bits <= most_bits(64 * WORDS, similarity)) & sized).select(F.col("s_x").alias("x"), F.col("s_y").alias("y"), "t_x", "t_y")
-
-
-def small_pairs(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs x, y of `sets` (s, t, n, h), one with EXACT shingles at most, that can have
-    `similarity`: none that has it is missing.
+
+def close_small_sets(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """x, y: a forest over `sets` (s, n, h) that connects all pairs with `similarity` of which
+    one has EXACT shingles at most: none is missing.
 
     Sets at `similarity` have a shingle in common among the first n - ceil(similarity * n)
-    + 1 of each, in any order that is the same for all; rare shingles first makes few pairs.
+    + 1 of each, in any order that is the same for all; rare shingles first makes few meet.
     The first common shingle leaves room for the overlap that similarity needs.
     """
     often = sets.select(F.explode("h").alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") >= COMMON)
@@ -245,56 +258,89 @@ def small_pairs(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         rank = ranks.value
         for batch in batches:
             own, counts = [], []
-            for n, h in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            for n, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 counts.append(n - math.ceil(similarity * n - 1e-9) + 1)
                 own += sorted(h, key=lambda v: (rank.get(v, 0), v))[: counts[-1]]
             at = pa.array(np.repeat(np.arange(len(counts)), counts))
             place = [i for c in counts for i in range(c)]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), *[batch.column(i).take(at) for i in range(3)], pa.array(place, pa.int32())], names=["v", "s", "t", "n", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), *[batch.column(i).take(at) for i in range(2)], pa.array(place, pa.int64())], names=["v", "s", "n", "at"])
+
+    rows = written(sets.select("s", "n", "h").mapInArrow(run, "v bigint, s bigint, n bigint, at bigint"), "shingle-prefixes")
+    live = rows.groupBy("v").agg(F.min("s").alias("a"), F.max("s").alias("b")).where("a <> b").select("v")
+    rows = written(rows.join(written(live, "live-shingles"), "v", "left_semi"), "met-prefixes")
+
+    def compare(batch: pa.RecordBatch):
+        n, place = batch.column("n").to_numpy(), batch.column("at").to_numpy()
+
+        def likely(at: np.ndarray, y: int) -> np.ndarray:
+            least, largest = np.minimum(n[at], n[y]), np.maximum(n[at], n[y])
+            room = np.minimum(n[at] - place[at], n[y] - place[y])
+            return at[(least <= EXACT) & (least >= similarity * largest - 1e-9) & (room >= similarity / (1 + similarity) * (n[at] + n[y]) - 1e-9)]
+
+        return likely, lambda x, y: True
+
+    return buckets.links(rows, "v", "s", compare)
+
 
-    rows = sets.select("s", "t", "n", "h").mapInArrow(run, "v bigint, s bigint, t bigint, n bigint, at int")
-    rows = written(rows, "shingle-prefixes")
-    x, y = (rows.select("v", *[F.col(c).alias(f"{c}_{side}") for c in ("s", "t", "n", "at")]) for side in "xy")
-    room = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y")) >= similarity / (1 + similarity) * (F.col("n_x") + F.col("n_y")) - 1e-9
-    sized = (F.least("n_x", "n_y") >= similarity * F.greatest("n_x", "n_y") - 1e-9) & (F.least("n_x", "n_y") <= EXACT)
-    pairs = x.join(y, (x["v"] == y["v"]) & (F.col("s_x") < F.col("s_y")) & sized & room)
-    return pairs.select(F.col("s_x").alias("x"), F.col("s_y").alias("y"), "t_x", "t_y").distinct()
+def similar_sets(members: DataFrame, similarity: float) -> DataFrame:
+    """x, y: a forest over `members` (bucket, s, words, n, h: sorted hashes of all shingles)
+    that connects the sets of a bucket which share `similarity`."""
+    close = _near_sets(similarity)
+
+    def compare(batch: pa.RecordBatch):
+        likely, _ = close(batch)
+        h = batch.column("h")
+        ends, values = h.offsets.to_numpy(), h.values.to_numpy()
+
+        def sure(x: int, y: int) -> bool:
+            a, b = values[ends[x] : ends[x + 1]], values[ends[y] : ends[y + 1]]
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            return both >= similarity * (len(a) + len(b) - both)
+
+        return likely, sure
+
+    return buckets.links(members, "bucket", "s", compare, most=MEMBERS)
 
 
 def similar(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SET_SHINGLE, seed: int = SEED, similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of `docs`: key, fingerprint (16 hex digits), component_id.
 
     Texts link if their sets of shingles share `similarity` or more (intersection over
-    union), measured on the whole texts of all pairs that the index finds: all there are
-    where a set has EXACT shingles or fewer, else about 0.98 of those at 0.8; component_id is
-    the smallest key that links reach. Only texts with equal sets of shingles count as copies
-    unmeasured. Null and empty texts, and those without words, are copies of each other. Null keys, repeated rows, other columns and an empty
-    table are as in `near_duplicates`.
+    union). The index finds which sets are close, closeness connects them to groups, and in
+    each group all that are close are measured by the hashes of all their shingles, until
+    they are connected: all pairs there are where a set has EXACT shingles or fewer, else
+    about 0.98 of those at 0.8; component_id is the smallest key that links reach. Only texts
+    with equal sets of shingles count as copies unmeasured. Null and empty texts, and those
+    without words, are copies of each other. Null keys, repeated rows, other columns and an
+    empty table are as in `near_duplicates`.
     """
-    fps = written(set_fingerprints(docs, key, text, shingle, seed, EXACT / similarity + 1), "set-fingerprints").withColumnRenamed(_WORDS[0], "fp")
+    fps = written(set_fingerprints(docs, key, text, shingle, seed, EXACT / similarity + 1), "set-fingerprints")
     # The text that stands for a set's copies in the verification.
-    chosen = F.min(F.struct("t", "fp", *_WORDS[1:], "n")).alias("chosen")
+    chosen = F.min(F.struct("t", *_WORDS, "n")).alias("chosen")
     distinct = fps.groupBy("s").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("copies"), chosen).select("s", "first", "copies", "chosen.*")
     distinct = written(distinct, "distinct-set-fingerprints")
-    large = close_pairs(distinct.where(F.col("n") > EXACT).withColumn(_WORDS[0], F.col("fp")), similarity)
-    sets = written(fps.where("h is not null").select("s", "t", "n", "h").dropDuplicates(["s"]), "small-sets")
-    pairs = written(large.union(small_pairs(sets, similarity)), "close-pairs")
-    ids = written(pairs.select(F.col("t_x").alias("id")).union(pairs.select("t_y")).distinct(), "close-texts")
+    sets = written(fps.where("h is not null").select("s", "n", "h").dropDuplicates(["s"]), "small-sets")
+    close = written(close_sets(distinct.where(F.col("n") > EXACT), similarity).union(close_small_sets(sets, similarity)), "close-sets")
+    groups = components(close, "x", "y").select(F.col("node").alias("s"), F.col("root").alias("bucket"))
+    groups = written(groups.join(distinct.select("s", "t", *_WORDS, "n"), "s"), "close-groups")
     texts = docs.select(F.xxhash64(F.col(f"`{text}`")).alias("t"), F.col(f"`{text}`").alias("text"))
-    met = written(texts.join(ids, texts["t"] == ids["id"], "left_semi").dropDuplicates(["t"]), "met-texts")
-    a, b = (met.select(F.col("t").alias(f"t_{s}"), F.col("text").alias(f"text_{s}")) for s in "xy")
+    hashes = _hashes(texts.join(groups.select("t"), "t", "left_semi").dropDuplicates(["t"]), shingle, seed)
+    members = written(groups.join(written(hashes, "met-hashes"), "t").drop("t"), "close-members")
+    found = written(similar_sets(members, similarity), "set-links")
+    return _named(fps.select("key", F.col(_WORDS[0]).alias("fp"), "s"), distinct, found, key, "s")
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _hashes(texts: DataFrame, shingle: int, seed: int) -> DataFrame:
+    """t and h, the sorted hashes of the different shingles of each whole text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
-                sets = [(set(shingles_of(p, shingle)), set(shingles_of(q, shingle))) for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-                shared = [(len(p & q), len(p | q)) for p, q in sets]
-                kept = batch.filter(pa.array([m >= similarity * n for m, n in shared], pa.bool_()))
-                yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["x", "y"])
+                own = [np.unique(set_fingerprint(t, shingle, seed)[3]) for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int64()))], names=["t", "h"])
 
-    both = pairs.join(a, "t_x").join(b, "t_y").select("x", "y", "text_x", "text_y")
-    return _named(fps.select("key", "fp", "s"), distinct, both.mapInArrow(verify, "x bigint, y bigint"), key, "s")
+    return texts.select("t", "text").mapInArrow(run, "t bigint, h array<bigint>")
 
 
 def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", groups=near_duplicates, **how) -> DataFrame:
