@@ -517,6 +517,17 @@ def test_bpe(spark):
     assert bpe.encode(docs(spark, []), queries.vocabulary()).count() == 0
 
 
+@pytest.mark.parametrize("around", ["a{}1", "1{}a", "!{}!", "{0}{0}"])
+def test_bpe_of_all_code_points(around):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(queries.vocabulary())
+    own = bpe.WordBPE.from_file(queries.vocabulary())
+    points = [c for c in (*range(0x33480), *range(0xE0000, 0xE0200), 0xF0000, 0x10FFFF) if not 0xD800 <= c <= 0xDFFF]
+    texts = [around.format(chr(c)) for c in points]
+    assert not [hex(c) for c, t, w in zip(points, texts, library.encode_batch(texts, add_special_tokens=False)) if own.encode(t) != w.ids]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

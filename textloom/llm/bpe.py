@@ -13,13 +13,13 @@ import hashlib
 import heapq
 import json
 import re
+import sys
 import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +31,34 @@ CACHE_WORDS = 400_000
 #: White space as the vocabulary's rules see it.
 WHITE = "\t-\r \x85\xa0  -     　"
 
+#: Letters, numbers and lower-case forms of Unicode 16 and 17 that the tokenizers
+#: library knows and older character tables don't; (first, last) and (first, last, lower first).
+NEW_LETTERS = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+NEW_NUMBERS = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
+NEW_LOWER = (
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5),
+    (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+)
+
+#: Capital letters that `str.lower` treats otherwise than letter by letter, or doesn't know.
+_LOWER = {0x3A3: 0x3C3} | {a + i: low + i for a, b, low in NEW_LOWER for i in range(b - a + 1)}
+
+
+def character_class(kind: str, new: tuple) -> str:
+    """The inside of a character class: all of a general category (L or N) and `new`."""
+    found = []
+    for c in range(sys.maxunicode + 1):
+        if unicodedata.category(chr(c))[0] == kind:
+            if found and found[-1][1] == c - 1:
+                found[-1][1] = c
+            else:
+                found.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in [*found, *new])
+
 
 def byte_letters() -> dict[int, str]:
     """The printable letter that stands for each byte in a byte-level vocabulary."""
@@ -61,7 +89,9 @@ class WordBPE:
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.strings |= {i: s for s, i in self.special.items()}
         pretokens = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.split = regex.compile(pretokens.replace(r"\s", WHITE)).findall
+        for named, plain in ((r"\s", WHITE), (r"\p{L}", character_class("L", NEW_LETTERS)), (r"\p{N}", character_class("N", NEW_NUMBERS))):
+            pretokens = pretokens.replace(named, plain)
+        self.split = re.compile(pretokens).findall
         self.words = re.compile(f"[^{WHITE}]+").findall
         by_length = sorted(self.special, key=len, reverse=True)
         self.special_start = {s[:1] for s in by_length}
@@ -119,7 +149,7 @@ class WordBPE:
                 return b"".join(array("I", [self.special[p]]).tobytes() if p in self.special else self.word(p) for p in parts)
         if not word.isascii():
             # Lower case letter by letter: a final capital sigma has no form of its own.
-            word = unicodedata.normalize("NFC", word).replace("Σ", "σ")
+            word = unicodedata.normalize("NFC", word).translate(_LOWER)
         return b"".join(map(self.packed_pieces.__getitem__, self.split(word.lower())))
 
     def encode_packed(self, text: str | None) -> bytes:
