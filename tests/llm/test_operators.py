@@ -472,6 +472,86 @@ def test_toxicity(spark):
     assert toxicity.reject(docs(spark, ODD), labels.limit(0), F.lit(False)).columns == docs(spark, ODD).columns
 
 
+def test_swap_penalty_and_its_gradient():
+    rng = np.random.default_rng(3)
+    sentences = [[0, 1, 2], [3, 1], [4, 2, 5, 0], [6], [1, 5]]
+    at, of = np.concatenate([np.array(x) for x in sentences]), np.repeat(np.arange(5), [len(x) for x in sentences])
+    pairs = [(1, 2), (2, 1), (5, 7), (7, 5), (1, 8)]
+    swaps = toxicity.swapped(at, of, pairs)
+    wanted = [(i, t, o, o in x) for i, x in enumerate(sentences) for w in x for t, o in pairs if t == w]
+    assert Counter(zip(*(x.tolist() for x in swaps))) == Counter(wanted)
+
+    def penalty(word, bias):
+        """By definition: every swapped sentence is made and scored."""
+        score = lambda x: 1 / (1 + np.exp(-(bias + sum(word[w] for w in x))))
+        return np.mean([(score(sentences[i]) - score((set(sentences[i]) - {t}) | {o})) ** 2 for i, t, o, _ in wanted])
+
+    def all_of(word, bias):
+        return toxicity.swap_penalty(word, np.bincount(of, word[at], 5) + bias, at, of, swaps)
+
+    word, bias, step = rng.normal(size=9), 0.3, 1e-6
+    value, by_word, by_bias = all_of(word, bias)
+    assert value == pytest.approx(penalty(word, bias))
+    for w in range(9):
+        moved = word.copy()
+        moved[w] += step
+        assert (penalty(moved, bias) - value) / step == pytest.approx(by_word[w], abs=1e-5)
+    assert (penalty(word, bias + step) - value) / step == pytest.approx(by_bias, abs=1e-5)
+    assert toxicity.swap_penalty(word, word, at, of, tuple(x[:0] for x in swaps))[0] == 0
+
+
+def test_scores_of_language_and_toxicity_against_brute_force(spark):
+    """The queries' predictions, text by text from the model's weights alone."""
+    source = load(spark)
+    learnt = langid.sample(source, queries.fold(3) != 1, key="doc_id", text="text", lang="lang")
+    assert learnt == langid.sample(source.repartition(7), queries.fold(3) != 1, key="doc_id", text="text", lang="lang")
+    model = langid.fit(*map(list, zip(*learnt)))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(source, queries.fold(3) == 1).collect()}
+    for r in source.limit(40).collect():
+        words = [w for w in map(langid.letters, langid.words_of(r.text)) if w]
+        e, move, start = model.emissions(words)[:, :-1], model.transition, model.start
+        a, b = [start + e[0]], [np.zeros(len(model.languages))]
+        for t in range(1, len(words)):
+            a.append(np.logaddexp.reduce(a[-1][:, None] + move, axis=0) + e[t])
+        for t in range(len(words) - 1, 0, -1):
+            b.insert(0, np.logaddexp.reduce(move + e[t] + b[0], axis=1))
+        p = np.exp(np.array(a) + np.array(b) - np.logaddexp.reduce(a[-1]))
+        z = sum(w * np.log(x.mean(0) + 1e-3) for w, x in zip(model.document, (p, p[: langid.ENDS], p[-langid.ENDS :])))
+        z = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert got[r.doc_id] == (model.languages[z.argmax()], pytest.approx(z.max(), abs=1e-9))
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    model = toxicity.train(source, labels, queries.fold(5) == 0)
+    got = {r.doc_id: r.score for r in toxicity.predict(source, labels, queries.fold(5) == 0).collect()}
+    for r in source.limit(40).collect():
+        sentences, n = [[]], 0
+        for w in langid.words_of(r.text):
+            if n == toxicity.SENTENCE:
+                sentences.append([])
+                n = 0
+            sentences[-1].append(toxicity.letters(w))
+            n += 1
+            if toxicity.ends(w):
+                sentences.append([])
+                n = 0
+        worst = max(model.bias + sum(model.rows([w])[0, 0] for w in dict.fromkeys(x) if w) for x in sentences if x)
+        assert got[r.doc_id] == pytest.approx(1 / (1 + np.exp(-(model.shift + model.slope * worst))), abs=1e-9)
+
+
+@pytest.mark.parametrize("predict", ["language", "toxicity"])
+def test_odd_tables_of_classifiers(spark, predict):
+    """Repeated rows and labels, nulls, a very long text, clashing columns, empty tables."""
+    rows = [*ODD, (10, "the quick brown fox " * 20_000, "s"), (11, "a scum and filth. " * 30, "s"), (12, "½ ² ① 123", "s")]
+    texts = docs(spark, rows).withColumn("score", F.lit("clash")).withColumn("lang_pred", F.lit(1))
+    labels = spark.createDataFrame([(11, 1), (11, 0), (11, 1), (5, 0), (6, None), (None, 1)], "doc_id long, toxic int")
+    run = (lambda d: langid.predict(d, F.col("doc_id") == 5)) if predict == "language" else (lambda d: toxicity.predict(d, labels, F.col("doc_id") == 5))
+    got = run(texts).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
+    assert len({tuple(r) for r in got if r.doc_id == 3}) == 1 and [r.held_out for r in got if r.doc_id is None] == [True]
+    if predict == "language":
+        assert {r.doc_id: r.lang_pred for r in got if r.doc_id in (8, 9, 10, 11, 12)} == {8: "und", 9: "und", 10: "en", 11: "en", 12: "und"}
+    assert run(texts.limit(0)).count() == 0
+
+
 def test_swapping_identity_terms_changes_little():
     toxic = [f"{g} are scum here." for g in ("muslims", "muslims", "women")] * 4
     clean = [f"{g} live here in peace number {i}." for i, g in enumerate(("christians", "men", "jews", "hindus") * 5)]

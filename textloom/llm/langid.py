@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from textloom.llm.crf import marginals
 from textloom.llm.wordtable import WordTable, feature_slots, letters, sums, words_of
 
-#: Bound of the training sample: documents, chosen by hash over all that may be used.
-SAMPLE_DOCS = 800
+#: Bounds of the training sample: documents, chosen by hash over all that may be used, and the
+#: characters of each (longer ones are left out of the sample, none is cut).
+SAMPLE_DOCS, SAMPLE_CHARS = 800, 50_000
 SLOTS = 1 << 17
 LEXICON_WORDS = 400  # a language
 ENDS = 12  # words that count as opening or close
@@ -93,8 +94,8 @@ def scores(parts: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return z / z.sum(1, keepdims=True)
 
 
-def fit(texts: list[str], langs: list[str], steps: int = 30) -> Model:
-    """Train on whole texts; needs at least one text with a letter."""
+def fit(texts: list[str], langs: list[str], steps: int = 30) -> Model | None:
+    """Train on whole texts; None if none of them has a letter."""
     languages = sorted(set(langs))
     n = len(languages)
     seen: dict[str, int] = {}
@@ -107,6 +108,8 @@ def fit(texts: list[str], langs: list[str], steps: int = 30) -> Model:
             counts.append(len(own))
             truth.append(languages.index(lang))
             by_lang[truth[-1]].update(own)
+    if not counts:
+        return None
     at, counts, truth = np.array(at), np.array(counts), np.array(truth)
     vocabulary = list(seen)
     flat, word_of = features(vocabulary)
@@ -163,13 +166,16 @@ def fit(texts: list[str], langs: list[str], steps: int = 30) -> Model:
 
 
 def sample(docs: DataFrame, usable: Column, *, key: str, text: str, lang: str, most: int = SAMPLE_DOCS) -> list[tuple[str, str]]:
-    """At most `most` usable (text, lang), the smallest by a hash of the key over all."""
-    order = F.xxhash64(F.col(f"`{key}`"), F.lit("train"))
-    fit_for = docs.where(usable & F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").rlike(r"\p{L}"))
-    ids = docs.where(usable & F.col(f"`{lang}`").isNotNull()).select(F.col(f"`{key}`").alias("id")).orderBy(F.xxhash64("id", F.lit("train")), "id").limit(most)
-    rows = fit_for.join(F.broadcast(ids.distinct()), F.col(f"`{key}`") == F.col("id"), "left_semi")
-    picked = rows.select(order.alias("o"), F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").alias("l"))
-    return [(r.t, r.l) for r in sorted(picked.limit(2 * most).collect(), key=lambda r: (r.o, r.k, r.t, r.l))]
+    """Usable (text, lang) of the `most` ids that a hash puts first over all; at most twice as
+    many rows, where ids come again. The same on every run."""
+    k, t = F.col(f"`{key}`"), F.col(f"`{text}`")
+    order = F.xxhash64(k, F.lit("train"))
+    usable = usable & F.col(f"`{lang}`").isNotNull() & t.rlike(r"\p{L}") & (F.length(t) <= SAMPLE_CHARS)
+    ids = docs.where(usable).select(order.alias("o"), k.alias("id")).orderBy("o", "id").limit(most).distinct()
+    rows = docs.where(usable).join(F.broadcast(ids.select("id")), k == F.col("id"), "left_semi")
+    # An id that comes again and again with other texts can't make the sample larger.
+    picked = rows.select(order.alias("o"), k.alias("k"), t.alias("t"), F.col(f"`{lang}`").alias("l")).orderBy("o", "k", "t", "l").limit(2 * most)
+    return [(r.t, r.l) for r in picked.collect()]
 
 
 def predict(docs: DataFrame, held_out: Column, *, key: str = "doc_id", text: str = "text", lang: str = "lang", most: int = SAMPLE_DOCS) -> DataFrame:
@@ -183,7 +189,7 @@ def predict(docs: DataFrame, held_out: Column, *, key: str = "doc_id", text: str
     spark = docs.sparkSession
     aside = F.coalesce(held_out, F.lit(True))
     learnt = sample(docs, ~aside, key=key, text=text, lang=lang, most=most)
-    model = spark.sparkContext.broadcast(fit([t for t, _ in learnt], [x for _, x in learnt]) if learnt else None)
+    model = spark.sparkContext.broadcast(fit([t for t, _ in learnt], [x for _, x in learnt]))
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,9 +3,10 @@
 A sentence's logit is a bias plus its words' scores, a word's score the sum of the weights
 of its word, affix and trigram features; a text is as toxic as its worst sentence.
 Labels are on documents only, so training goes in rounds: all sentences of a toxic document
-count as toxic at first, then only those the last round found to be the cause. In labelled
-sentences identity terms are swapped for the other terms of their group, and the squared
-change of the logit is penalised, so that a neutral mention of a group costs nothing.
+count as toxic at first, then only those the last round found to be the cause. In each
+labelled sentence every identity term is swapped for each other term of its group, and the
+squared change of the sentence's score is penalised: a model that finds a sentence toxic
+because of whom it mentions pays for it, so a neutral mention of a group costs nothing.
 """
 
 from __future__ import annotations
@@ -16,20 +17,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import free_name
 from textloom.llm.wordtable import WordTable, feature_slots, letters, sums, words_of
 
-#: Bound of the training sample: toxic documents, chosen by hash over all; and how many
-#: times as many clean ones.
-SAMPLE_DOCS, CLEAN_TIMES = 1000, 3
+#: Bounds of the training sample: toxic documents, chosen by hash over all, how many times as
+#: many clean ones, and the characters of each (longer ones are left out of the sample).
+SAMPLE_DOCS, CLEAN_TIMES, SAMPLE_CHARS = 1000, 3, 20_000
 SLOTS = 1 << 18
-#: A sentence is cut after this many words even if no full stop comes.
+#: What goes on without a stop is scored in sentences of this many words; each word is in one.
 SENTENCE = 40
 #: Weight of the counterfactual penalty and of the squared weights.
-SWAP_PENALTY, DECAY = 1.0, 1e-6
+SWAP_PENALTY, DECAY = 100.0, 1e-6
 
 #: Terms for groups of people that can stand for each other in a sentence.
 IDENTITY_TERMS = (
@@ -84,20 +86,22 @@ class Model:
     shift: float
 
     def rows(self, words: list[str]) -> np.ndarray:
-        """Each word's score and whether it ends a sentence."""
+        """Each word's score, whether it ends a sentence, and a number for its letters (a
+        hash that a float holds): words that differ in their signs only are one."""
         plain = [letters(w) for w in words]
-        out = np.empty((len(words), 2))
+        out = np.empty((len(words), 3))
         out[:, 0] = sums(self.weights[:, None], *features(plain), len(words))[:, 0]
         out[:, 1] = [ends(w) for w in words]
+        out[:, 2] = [xxhash.xxh3_64_intdigest(w) >> 11 for w in plain]
         return out
 
     def table(self) -> WordTable:
-        return WordTable(2, self.rows)
+        return WordTable(3, self.rows)
 
     def texts(self, table: WordTable, texts: list[str | None]) -> np.ndarray:
         """Score (0 to 1) of each whole text."""
-        at, rows, counts = table.look_up(texts)
-        logit = self.shift + self.slope * worst(at, rows, counts, self.bias)
+        _, rows, counts = table.look_up(texts)
+        logit = self.shift + self.slope * worst(rows, counts, self.bias)
         return 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
 
 
@@ -108,12 +112,13 @@ def first_in_sentence(at: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.sort(first)
 
 
-def worst(at: np.ndarray, rows: np.ndarray, counts: np.ndarray, bias: float) -> np.ndarray:
+def worst(rows: np.ndarray, counts: np.ndarray, bias: float) -> np.ndarray:
     """Logit of the worst sentence of each text; a text without words has the bias only."""
     out = np.full(len(counts), bias)
     if len(rows):
         starts = sentence_starts(rows[:, 1] > 0, counts)
         once = np.zeros(len(rows))
+        _, at = np.unique(rows[:, 2], return_inverse=True)
         new = first_in_sentence(at, starts)
         once[new] = rows[new, 0]
         sentence = np.add.reduceat(once, starts) + bias
@@ -123,6 +128,41 @@ def worst(at: np.ndarray, rows: np.ndarray, counts: np.ndarray, bias: float) ->
     return out
 
 
+def swapped(at: np.ndarray, sentence_of: np.ndarray, pairs: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sentence, term, other, whether other is in the sentence already) of all swaps.
+
+    `at` are the different words of each sentence and `pairs` (term, other) by word number.
+    """
+    term, other = np.array(pairs).T
+    order = np.argsort(term, kind="stable")
+    term, other = term[order], other[order]
+    met = np.flatnonzero(np.isin(at, term))
+    low, high = np.searchsorted(term, at[met], "left"), np.searchsorted(term, at[met], "right")
+    where = np.repeat(met, high - low)
+    nth = np.arange(len(where)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
+    new = other[np.repeat(low, high - low) + nth]
+    width = int(max(at.max(initial=0), term.max(), other.max())) + 1
+    there = np.isin(sentence_of[where] * width + new, sentence_of * width + at)
+    return sentence_of[where], at[where], new, there
+
+
+def swap_penalty(word: np.ndarray, logit: np.ndarray, at: np.ndarray, sentence_of: np.ndarray, swaps: tuple) -> tuple[float, np.ndarray, float]:
+    """The mean squared change of a sentence's score when a term is swapped, and its
+    gradient by the words' scores `word` and by the bias; `logit` are the sentences'."""
+    sentence, term, other, there = swaps
+    if not len(sentence):
+        return 0.0, np.zeros(len(word)), 0.0
+    score = 1 / (1 + np.exp(-np.clip(logit[sentence], -500, 500)))
+    change = np.where(there, 0.0, word[other]) - word[term]
+    after = 1 / (1 + np.exp(-np.clip(logit[sentence] + change, -500, 500)))
+    gap = score - after
+    own = 2 * gap * score * (1 - score) / len(gap)  # by the sentence's logit
+    new = -2 * gap * after * (1 - after) / len(gap)  # by the swapped sentence's logit
+    both = np.bincount(sentence, own + new, len(logit))
+    by_word = np.bincount(at, both[sentence_of], len(word)) - np.bincount(term, new, len(word)) + np.bincount(other, np.where(there, 0.0, new), len(word))
+    return float((gap**2).mean()), by_word, float(both.sum())
+
+
 def fit(texts: list[str], toxic: list[int], rounds: int = 3, steps: int = 40) -> Model:
     """Train on whole texts; equal texts count once. Needs both labels to learn anything."""
     unique = dict(zip(texts, toxic))
@@ -144,15 +184,8 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 3, steps: int = 40) ->
     document = np.repeat(np.arange(len(counts)), counts)[starts]
     new = first_in_sentence(at, starts)
     at, sentence_of = at[new], sentence_of[new]
-    # Swapped sentences: the logit of a sentence changes by the terms' difference.
-    times = dict(enumerate(np.bincount(at, minlength=len(seen)).tolist()))
-    swaps = []
-    for group in IDENTITY_TERMS:
-        for term in group:
-            met = times.get(seen.get(term), 0)
-            swaps += [(seen.setdefault(term, len(seen)), seen.setdefault(other, len(seen)), 1 + met) for other in group if other != term]
-    term, other, often = map(np.array, zip(*swaps))
-    often = often / often.sum()
+    pairs = [(seen.setdefault(term, len(seen)), seen.setdefault(other, len(seen))) for group in IDENTITY_TERMS for term in group for other in group if other != term]
+    swaps = swapped(at, sentence_of, pairs)
     vocabulary = list(seen)
     slot, word_of = features(vocabulary)
     weights, bias = np.zeros(SLOTS), np.zeros(1)
@@ -166,13 +199,14 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 3, steps: int = 40) ->
             logit = np.bincount(sentence_of, word[at], len(starts)) + bias
             gap = weight * (label - 1 / (1 + np.exp(-np.clip(logit, -500, 500))))
             pull = np.bincount(at, gap[sentence_of], len(vocabulary))
-            change = SWAP_PENALTY * often * (word[term] - word[other])
-            pull -= np.bincount(term, change, len(vocabulary)) - np.bincount(other, change, len(vocabulary))
+            _, by_word, by_bias = swap_penalty(word, logit, at, sentence_of, swaps)
+            pull -= SWAP_PENALTY * by_word
             grad = np.bincount(slot, pull[word_of], SLOTS) - DECAY * weights
             squares += grad * grad
             weights += 0.3 * grad / np.sqrt(squares + DAMP)
-            bias_squares += gap.sum() ** 2
-            bias += 0.3 * gap.sum() / np.sqrt(bias_squares + 1e-12)
+            up = gap.sum() - SWAP_PENALTY * by_bias
+            bias_squares += up**2
+            bias += 0.3 * up / np.sqrt(bias_squares + 1e-12)
         word = np.bincount(word_of, weights[slot], len(vocabulary))
         logit = np.bincount(sentence_of, word[at], len(starts)) + bias
         peak = np.full(len(truth), -np.inf)
@@ -192,17 +226,17 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 3, steps: int = 40) ->
 
 
 def sample(docs: DataFrame, labels: DataFrame, usable: Column, *, key: str, text: str, label: str, most: int = SAMPLE_DOCS) -> list[tuple[str, int]]:
-    """At most `most` toxic and CLEAN_TIMES as many clean usable (text, label), the
-    smallest by a hash of the key.
-
-    A document labelled more than once counts as toxic if any of its labels says so.
+    """Usable (text, label) of `most` toxic and CLEAN_TIMES as many clean ids at most, those
+    that a hash puts first over all; at most twice as many rows, where ids come again. The
+    same on every run. A document labelled more than once counts as toxic if any of its labels
+    says so.
     """
     k = F.col(f"`{key}`")
     marks = labels.where(k.isNotNull() & F.col(f"`{label}`").isNotNull() & usable).groupBy(k.alias("id")).agg((F.max(f"`{label}`") > 0).cast("int").alias("y"))
     order = [F.xxhash64("id", F.lit("train")), F.col("id")]
     picked = marks.where("y = 1").orderBy(*order).limit(most).unionAll(marks.where("y = 0").orderBy(*order).limit(CLEAN_TIMES * most))
-    rows = docs.select(k.alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t")).join(F.broadcast(picked), "id")
-    return [(r.t, r.y) for r in sorted(rows.limit(2 * (1 + CLEAN_TIMES) * most).collect(), key=lambda r: (r.id, r.t, r.y))]
+    rows = docs.select(k.alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t")).where(F.length("t") <= SAMPLE_CHARS).join(F.broadcast(picked), "id")
+    return [(r.t, r.y) for r in rows.orderBy("id", "t", "y").limit(2 * (1 + CLEAN_TIMES) * most).collect()]
 
 
 def train(docs: DataFrame, labels: DataFrame, held_out: Column, *, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = SAMPLE_DOCS) -> Model:

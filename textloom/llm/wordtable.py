@@ -14,7 +14,6 @@ MOST_WORDS = 500_000
 #: PIECE, which the affix features cover whole.
 LONG, PIECE = 32, 8
 
-_not_letters = re.compile(r"[\W\d_]+")
 _runs = re.compile(r"([\W\d_]*)([^\W\d_]+)([\W\d_]*)").findall
 
 
@@ -36,9 +35,10 @@ def words_of(text: str) -> list[str]:
 
 
 def letters(word: str) -> str:
-    """The letters of a word in lower case, without what stands between or around them."""
+    """The letters of a word in lower case, without what stands between or around them:
+    digits, fractions and circled numbers are no letters."""
     low = word.lower()
-    return low if low.isalpha() else _not_letters.sub("", low)
+    return low if low.isalpha() else "".join(filter(str.isalpha, low))
 
 
 def feature_slots(words: list[str], slots: int, prefixes=(), suffixes=(), grams=()) -> tuple[np.ndarray, np.ndarray]:
