@@ -462,6 +462,18 @@ def test_warc_of_a_key_with_several_payloads(spark):
     assert Counter(found) == Counter((k, digest(t), kind, refers) for k, t, kind, refers in wanted)
 
 
+def test_warc_files_by_size(spark):
+    rows = [(i, f"http://a/{i}", "x" * n, 0) for i, n in enumerate([10, 200, 200, 5000, 7, 5000, 6000, 90_000])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest int")
+    path = warc.shared_path(spark, "sizes")
+    warc.write(pages, path, files=((100, 3), (5000, 2), (None, 1)))
+    got = warc.read(spark, path).toPandas()
+    digest = lambda t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
+    assert Counter(zip(got.key, got.payload_bytes, got.payload_digest)) == Counter((str(i), len(t), digest(t)) for i, _, t, _ in rows)
+    large = got[got.payload_bytes > 5000]
+    assert large.archive.nunique() == len(large) and len(got[got.record_type == "revisit"]) == 2
+
+
 def test_toxicity(spark):
     source = "/root/testdata/sf0.1"
     texts, labels = spark.read.parquet(f"{source}/documents.parquet"), spark.read.parquet(f"{source}/labels.parquet")

@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import shared_path, shuffle_width, written
 
-#: Records of an archive file at most: bounds what is parsed at once.
-RECORDS_PER_FILE = 2000
+#: (payload bytes up to which, records of an archive file at most): rows go to files by the
+#: size of their payload, so a file, which is parsed at once, has some 64 MB of payloads at
+#: most, or a single larger one.
+FILES = ((32 << 10, 2000), (1 << 20, 64), (None, 1))
 #: Entries of a block of a run, and how many sampled entries set the borders of a range.
 BLOCK, SAMPLED = 512, 32
 
@@ -165,31 +167,37 @@ ENTRY = pa.schema([("url_key", pa.string()), ("time", pa.string()), ("key", pa.s
 _ENTRY_SQL = "url_key string, time string, key string, payload_bytes bigint, payload_digest string, record_type string, refers_to string, archive string, offset bigint, length bigint"
 
 
-def assign(pages: DataFrame, key: str, html: str, least: int) -> DataFrame:
-    """key, digest and refers_to of the rows whose payload another row's response has.
+def payloads(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """key, digest and size of every row's payload, as a table."""
+    payload = F.coalesce(F.col(f"`{html}`"), F.lit(""))
+    return written(pages.select(F.col(f"`{key}`").alias("key"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("size")), "payloads")
+
+
+def assign(rows: DataFrame, least: int) -> DataFrame:
+    """key, digest and refers_to of the payloads (`rows`) that another row's response has.
 
     Of equal payloads of at least `least` bytes the row with the largest key is the
-    response. Counting is partly done before the shuffle; only digests travel.
+    response. Counting is partly done before the shuffle; only digests travel, and they meet
+    a table, so that skew handling can split those that very many rows have.
     """
-    payload = F.coalesce(F.col(f"`{html}`"), F.lit(""))
-    rows = written(pages.select(F.col(f"`{key}`").alias("key"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("size")), "payloads")
-    first = rows.where(F.col("size") >= least).groupBy("digest").agg(F.max("key").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 and refers_to is not null")
-    again = rows.where(F.col("size") >= least).join(first.drop("n"), "digest").where(~F.col("key").eqNullSafe(F.col("refers_to")))
+    rows = rows.where(F.col("size") >= least)
+    first = rows.groupBy("digest").agg(F.max("key").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 and refers_to is not null")
+    again = rows.join(written(first.drop("n"), "responses"), "digest").where(~F.col("key").eqNullSafe(F.col("refers_to")))
     return written(again.select("key", "digest", "refers_to").distinct(), "revisits")
 
 
-def write(pages: DataFrame, path: str, *, key: str = "page_id", url: str = "url", html: str = "html", time: Column | None = None, least: int = 0, records: int = RECORDS_PER_FILE) -> None:
-    """Write a record per row of `pages` as WARC files into the folder `path`.
+def write(pages: DataFrame, path: str, *, key: str = "page_id", url: str = "url", html: str = "html", time: Column | None = None, least: int = 0, files: tuple = FILES) -> None:
+    """Write a record per row of `pages` as WARC files into folders below `path`.
 
     `time` is a timestamp (default: 2020-01-01). Null payloads are empty, null URLs too; a
-    null key is written as an empty one, and rows that repeat a key are records of that key.
-    Line ends, blanks and other unsafe characters of a URL are percent-encoded.
+    null key is written as an empty one, and rows that repeat a key are records of that key,
+    each with its own payload's decision. Line ends, blanks and other unsafe characters of a
+    URL are percent-encoded. A payload has to fit into a value of Spark's, under 2 GiB.
     """
-    again = assign(pages, key, html, least)
+    sizes = payloads(pages, key, html)
+    again, largest = assign(sizes, least), sizes.agg(F.max("size")).first()[0] or 0
     when = F.date_format(time if time is not None else F.lit("2020-01-01").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     rows = pages.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{url}`"), F.lit("")).alias("url"), when.alias("time"), F.coalesce(F.col(f"`{html}`"), F.lit("")).alias("html"))
-    # A key that comes with several payloads has a decision for each.
-    rows = rows.withColumn("digest", F.sha1("html")).join(again, ["key", "digest"], "left").select(F.col("key").cast("string").alias("key"), "url", "time", "html", F.col("refers_to").cast("string").alias("original"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -201,8 +209,16 @@ def write(pages: DataFrame, path: str, *, key: str = "page_id", url: str = "url"
                     out.append(record(k or "", u, t or "1970-01-01T00:00:00Z", page, len(data), base32_sha1(data), original))
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
-    text = rows.mapInArrow(run, "value string")
-    text.write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", records).text(path)
+    above = -1
+    for n, (most, records) in enumerate(files):
+        if n and largest <= above:
+            break  # no row is that large
+        size = F.octet_length("html")
+        some = rows.where((size > above) & (size <= most) if most is not None else size > above)
+        # A key that comes with several payloads has a decision for each.
+        some = some.withColumn("digest", F.sha1("html")).join(again, ["key", "digest"], "left").select(F.col("key").cast("string").alias("key"), "url", "time", "html", F.col("refers_to").cast("string").alias("original"))
+        some.mapInArrow(run, "value string").write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", records).text(f"{path}/{n}")
+        above = most
 
 
 def read(spark, path: str) -> DataFrame:
@@ -216,7 +232,7 @@ def read(spark, path: str) -> DataFrame:
                     columns = zip(*found)
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ENTRY)], schema=ENTRY)
 
-    files = spark.read.format("binaryFile").load(path).where("length > 0").select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0").select("path", "content")
     return files.mapInArrow(run, _ENTRY_SQL)
 
 
