@@ -38,7 +38,7 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_line_packing_leaves_no_document_out(spark):
     texts = spark.read.parquet(f"{DATA}/documents.parquet").where("text is not null").count()
-    assert max(q(spark, DATA).select("doc_id").distinct().count() for n, q in catalogue.QUERIES.items() if n.startswith("line_pack")) == texts
+    assert catalogue.QUERIES["line_pack_chunks"](spark, DATA).select("doc_id").distinct().count() == texts
 
 
 def test_line_packing_of_all_equals_sql(spark, tmp_path):
@@ -46,8 +46,8 @@ def test_line_packing_of_all_equals_sql(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     con = duckdb.connect()
     con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
-    got = {tuple(r) for r in catalogue.QUERIES["line_pack_all"](spark, str(tmp_path)).collect()}
-    assert got == set(con.sql(catalogue.ORACLES["line_pack_all"]).fetchall()) and {r[0] for r in got} == set(range(8))
+    got = {tuple(r) for r in catalogue.QUERIES["line_pack_chunks"](spark, str(tmp_path)).collect()}
+    assert got == set(con.sql(catalogue.ORACLES["line_pack_chunks"]).fetchall()) and {r[0] for r in got} == set(range(8))
 
 
 def one(spark, column):
@@ -100,12 +100,12 @@ def built(spark):
     files = spark.createDataFrame([(p,) for p in ("pkg/a.py", "pkg/b.py", "docs/overview.md", "docs/dec-002-x.md")], "path string")
     chunks = spark.createDataFrame(
         [
-            ("pkg/a.py", "run", "function", 1, 5, "python", "# WHY: fast\n# see DEC-2\nimport pkg.b"),
-            ("pkg/b.py", "go", "function", 1, 2, "python", "pass"),
-            ("docs/overview.md", "Overview", "section", 1, 3, "markdown", "see [x](dec-002-x.md) and [[nothing]]"),
-            ("docs/dec-002-x.md", "Choice", "section", 1, 3, "markdown", "text"),
+            ("pkg/a.py", "run", "function", 1, 5, "python", "cut", ["cite:dec-002", "why:fast"]),
+            ("pkg/b.py", "go", "function", 1, 2, "python", "pass", []),
+            ("docs/overview.md", "Overview", "section", 1, 3, "markdown", "see [x](dec-002-x.md) and [[nothing]]", []),
+            ("docs/dec-002-x.md", "Choice", "section", 1, 3, "markdown", "text", None),
         ],
-        "file_path string, scope_name string, scope_type string, start_line int, end_line int, language string, content string",
+        "file_path string, scope_name string, scope_type string, start_line int, end_line int, language string, content string, references array<string>",
     )
     imports = spark.createDataFrame([("pkg/a.py", "pkg.b"), ("pkg/a.py", "os")], "path string, raw_import string")
     return graph.build(files, chunks, imports)
@@ -135,3 +135,26 @@ def test_diff_full(spark):
     b = spark.createDataFrame([("x", 1.0, 1, "h"), ("y", 1.0, 1, "h")], a.schema)
     assert {r.path: r.status for r in summary.file_diff(a, b).collect()} == {"x": "unchanged", "y": "deleted"}
     assert {r.path: r.status for r in summary.file_diff(a, b, full=True).collect()} == {"x": "changed", "y": "deleted"}
+
+
+def test_paragraph_lines_of_repeats(spark):
+    body = "same\n\n" + "x" * 990 + "\n\nsame\n\n" + "y" * 995 + "\n\nsame"
+    files = spark.createDataFrame([("d/t.txt", body)], "file_path string, content string")
+    rows = chunking.explode_paragraphs(files).orderBy("start_line").collect()
+    assert [(r.scope_name, r.start_line, r.end_line) for r in rows] == [("t_chunk_1", 1, 3), ("t_chunk_2", 5, 7), ("t_chunk_3", 9, 9)]
+    nul = spark.createDataFrame([("d/a.md", "# One\nx\x00y\n# Two\nz")], "file_path string, content string")
+    assert [r.scope_name for r in chunking.markdown_sections(nul).orderBy("start_line").collect()] == ["One", "Two"]
+
+
+def test_streams_in_append_mode(spark, tmp_path):
+    from textloom.streaming.ingest import drain, windowed_counts
+
+    rows = [("2024-01-01 00:10:00", "a"), ("2024-01-01 00:20:00", "a"), ("2024-01-09 00:00:00", "b")]
+    spark.createDataFrame(rows, "ts string, event_type string").selectExpr("cast(ts as timestamp) ts", "event_type").write.parquet(f"{tmp_path}/in")
+    drain(spark, f"{tmp_path}/in", "*.parquet", f"{tmp_path}/check", windowed_counts, f"{tmp_path}/out", mode="append")
+    assert [(r.event_type, r.n) for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [("a", 2)]
+
+
+def test_text_read_drops_bad_bytes(spark):
+    rows = spark.createDataFrame([(bytearray(b"a\xff\xc3\xa9b"),), (None,)], "x binary")
+    assert [r.t for r in rows.select(text.decode_text(F.col("x")).alias("t")).collect()] == ["a\u00e9b", None]

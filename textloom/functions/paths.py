@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,13 +11,17 @@ from pyspark.sql import functions as F
 #: Directories that are never indexed.
 IGNORED_DIRS = (".git", "node_modules", ".venv", "venv", "env", "__pycache__", "dist", "build", ".tox", ".mypy_cache", ".pytest_cache", ".code-index")
 
-#: Suffixes of each language.
-LANGUAGE_SUFFIXES = {
-    "python": "py", "javascript": "js jsx", "typescript": "ts tsx", "go": "go", "markdown": "md", "text": "txt", "csharp": "cs", "java": "java", "xml": "xml", "razor": "razor", "dart": "dart",
-    "pascal": "pas dfm", "vb6": "bas cls frm", "rust": "rs", "ruby": "rb", "php": "php", "c": "c h", "cpp": "cpp hpp cc", "kotlin": "kt kts", "swift": "swift", "sql": "sql", "bash": "sh bash",
-    "yaml": "yaml yml", "json": "json", "toml": "toml", "vue": "vue", "scala": "scala", "lua": "lua", "html": "html", "css": "css", "scss": "scss", "elixir": "ex exs",
+#: The language of each suffix.
+LANGUAGES = {
+    ".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript", ".go": "go",
+    ".md": "markdown", ".txt": "text", ".cs": "csharp", ".java": "java", ".xml": "xml", ".razor": "razor",
+    ".dart": "dart", ".pas": "pascal", ".dfm": "pascal", ".bas": "vb6", ".cls": "vb6", ".frm": "vb6",
+    ".rs": "rust", ".rb": "ruby", ".php": "php", ".c": "c", ".h": "c", ".cpp": "cpp",
+    ".hpp": "cpp", ".cc": "cpp", ".kt": "kotlin", ".kts": "kotlin", ".swift": "swift", ".sql": "sql",
+    ".sh": "bash", ".bash": "bash", ".yaml": "yaml", ".yml": "yaml", ".json": "json", ".toml": "toml",
+    ".vue": "vue", ".scala": "scala", ".lua": "lua", ".html": "html", ".css": "css", ".scss": "scss",
+    ".ex": "elixir", ".exs": "elixir",
 }
-LANGUAGES = {f".{suffix}": language for language, suffixes in LANGUAGE_SUFFIXES.items() for suffix in suffixes.split()}
 
 
 def suffix(path: Column) -> Column:
@@ -110,3 +115,12 @@ def matches_rules(path: Column, rules: list[tuple[bool, str]]) -> Column:
     for ignores, pattern in rules:
         verdict = F.when(path.rlike(f"^(?:{pattern})$"), F.lit(ignores)).otherwise(verdict)
     return verdict
+
+
+def path_of_uri(uri: str) -> str:
+    """The path that a `file://` URI names, its escapes decoded; anything else stays as it is."""
+    parts = urlsplit(uri)
+    if parts.scheme.lower() != "file":
+        return uri
+    path = unquote(parts.path)
+    return path[1:] if re.match(r"^/[A-Za-z]:", path) else path

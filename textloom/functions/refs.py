@@ -58,6 +58,19 @@ def encoded_refs(content: Column) -> Column:
     return F.transform(rationale_refs(content), encode_ref)
 
 
+def decoded_refs(refs: Column) -> Column:
+    """array<struct<kind, key, text>> of encoded references, the inverse of `encode_ref`;
+    what isn't one is left out."""
+
+    def one(ref: Column) -> Column:
+        head, rest = F.substring_index(ref, ":", 1), F.regexp_extract(ref, r"(?s)^[^:]*:(.*)$", 1)
+        noted = head.isin("note", "why")
+        known = (noted | head.isin("cite", "wikilink")) & (rest != "")
+        return F.when(known, F.struct(F.when(noted, "annotation").otherwise(head).alias("kind"), F.when(noted, head).otherwise(rest).alias("key"), F.when(noted, rest).alias("text")))
+
+    return F.array_compact(F.transform(F.coalesce(refs, F.array().cast("array<string>")), one))
+
+
 def decode_refs(text: Column) -> Column:
     """A JSON list of strings as an array; anything else gives an empty one."""
     return F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))

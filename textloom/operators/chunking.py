@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.paths import stem
@@ -57,26 +57,49 @@ def chunk_id(content: Column, path: Column, start: Column, end: Column) -> Colum
     return F.substring(F.sha2(F.concat(content, path, F.concat_ws("-", start.cast("string"), end.cast("string"))), 256), 1, 16)
 
 
-def explode_paragraphs(files: DataFrame, path: str = "file_path", content: str = "content", most: int = CHUNK_CHARS) -> DataFrame:
-    """A row per paragraph chunk with its name and lines, beside the columns of `files`."""
-    rows = files.withColumn("__chunks", paragraph_chunks(F.col(content), most)).select("*", F.posexplode("__chunks").alias("__n", "__chunk"))
-    many = F.size("__chunks") > 1
-    name = F.when(many, F.concat(stem(F.col(path)), F.lit("_chunk_"), (F.col("__n") + 1).cast("string"))).otherwise(stem(F.col(path)))
-    first = F.greatest(F.position(F.substring_index("__chunk", "\n\n", 1), F.col(content)), F.lit(1))
-    before = F.substring(F.col(content), F.lit(1), first - 1)
-    start = count_of(before, "\n") + 1
-    return rows.select(F.col(path).alias("file_path"), name.alias("scope_name"), F.lit("chunk").alias("scope_type"), start.alias("start_line"), (start + count_of(F.col("__chunk"), "\n")).alias("end_line"), F.col("__chunk").alias("content"))
+def start_lines(chunks: Column, content: Column, first: Column) -> Column:
+    """The line of each paragraph chunk in its text, which begins at line `first`; each is
+    looked for behind the one before, so repeated paragraphs have their own lines."""
+    start = F.struct(F.lit(1).alias("at"), F.lit(1).alias("past"), first.cast("int").alias("line"), F.array().cast("array<int>").alias("lines"))
 
+    def step(state: Column, chunk: Column) -> Column:
+        found = F.position(F.substring_index(chunk, "\n\n", 1), content, state["past"])
+        at = F.when(found > 0, found).otherwise(state["past"])
+        line = (state["line"] + count_of(F.substring(content, state["at"], at - state["at"]), "\n")).cast("int")
+        # In its text a chunk is as long as it is or longer: paragraphs are only stripped.
+        return F.struct(at.alias("at"), (at + F.length(chunk)).alias("past"), line.alias("line"), F.concat(state["lines"], F.array(line)).alias("lines"))
 
-def markdown_sections(files: DataFrame, path: str = "file_path", content: str = "content") -> DataFrame:
-    """file_path, scope_name, start_line, end_line and content of each section.
+    return F.aggregate(chunks, start, step, lambda s: s["lines"])
+
+
+def explode_paragraphs(files: DataFrame, path: str = "file_path", content: str = "content", most: int = CHUNK_CHARS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row per paragraph chunk with its name and lines, and the columns `keep` of `files`."""
+    rows = files.withColumn("__chunks", paragraph_chunks(F.col(content), most))
+    rows = rows.select("*", F.posexplode(F.arrays_zip(F.col("__chunks").alias("c"), start_lines(F.col("__chunks"), F.col(content), F.lit(1)).alias("l"))).alias("__n", "__chunk"))
+    name = F.when(F.size("__chunks") > 1, F.concat(stem(F.col(path)), F.lit("_chunk_"), (F.col("__n") + 1).cast("string"))).otherwise(stem(F.col(path)))
+    start, chunk = F.col("__chunk.l"), F.col("__chunk.c")
+    return rows.select(F.col(path).alias("file_path"), *keep, name.alias("scope_name"), F.lit("chunk").alias("scope_type"), start.alias("start_line"), (start + count_of(chunk, "\n")).alias("end_line"), chunk.alias("content"))
+
+
+def markdown_sections(files: DataFrame, path: str = "file_path", content: str = "content", most: int = CHUNK_CHARS) -> DataFrame:
+    """file_path, scope_name, scope_type, start_line, end_line and content of each section.
 
     A section runs from a heading to the line of the next one (which its end_line still
-    counts); text before the first heading is the section `Intro`.
+    counts); text before the first heading is the section `Intro`. A section of more than
+    `most` characters comes in paragraph chunks, named `<title> (Parte n)`; a file without
+    headings in plain paragraph chunks.
     """
-    body = F.regexp_replace(F.col(content), r"(?m)^(?=#+[ \t]+\S)", "\x00")
-    parts = files.select(F.col(path).alias("file_path"), F.posexplode(F.split(body, "\x00")).alias("n", "part"), F.col(content).alias("whole"), F.split(body, "\x00").alias("parts"))
-    before = F.aggregate(F.slice("parts", F.lit(1), F.col("n")), F.lit(0), lambda s, p: s + count_of(p, "\n"))
+    heading = r"(?m)^(?=#+[ \t]+\S)"
+    headed = F.col(content).rlike(r"(?m)^#+[ \t]+\S")
+    plain = explode_paragraphs(files.where(~headed), path, content, most)
+    parts = files.where(headed).select(F.col(path).alias("file_path"), F.posexplode(F.split(content, heading)).alias("n", "part"))
+    upward = Window.partitionBy("file_path").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("first", (F.coalesce(F.sum(count_of(F.col("part"), "\n")).over(upward), F.lit(0)) + 1).cast("int")).where(strip(F.col("part")) != "")
     title = F.when(F.col("part").rlike(r"^#+[ \t]+\S"), strip(F.regexp_extract("part", r"^#+[ \t]+([^\n]*)", 1))).otherwise(F.lit("Intro"))
-    rows = parts.select("file_path", title.alias("scope_name"), (before + 1).alias("start_line"), (before + 1 + count_of(F.col("part"), "\n")).alias("end_line"), strip(F.col("part")).alias("content"))
-    return rows.where("content <> ''")
+    parts, whole = parts.withColumn("title", title), F.length(strip(F.col("part"))) <= most
+    short = parts.where(whole).select("file_path", F.col("title").alias("scope_name"), F.lit("section").alias("scope_type"), F.col("first").alias("start_line"), (F.col("first") + count_of(F.col("part"), "\n")).alias("end_line"), strip(F.col("part")).alias("content"))
+    long = parts.where(~whole).withColumn("chunks", paragraph_chunks(F.col("part"), most))
+    long = long.select("file_path", "title", F.size("chunks").alias("many"), F.posexplode(F.arrays_zip(F.col("chunks").alias("c"), start_lines(F.col("chunks"), F.col("part"), F.col("first")).alias("l"))).alias("k", "z"))
+    name = F.when(F.col("many") > 1, F.concat("title", F.lit(" (Parte "), (F.col("k") + 1).cast("string"), F.lit(")"))).otherwise(F.col("title"))
+    long = long.select("file_path", name.alias("scope_name"), F.lit("section").alias("scope_type"), F.col("z.l").alias("start_line"), (F.col("z.l") + count_of(F.col("z.c"), "\n")).alias("end_line"), F.col("z.c").alias("content"))
+    return short.unionByName(long).unionByName(plain)

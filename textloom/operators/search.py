@@ -75,6 +75,44 @@ def bm25(rows: DataFrame, text: str, terms: list[str], id_column: str, limit: in
     return scored.orderBy(F.desc("score"), id_column).limit(limit)
 
 
+#: Buckets of terms: a query reads only the files of its terms' buckets.
+TERM_BUCKETS = 64
+
+
+def _bucket(term) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
+
+
+def postings(rows: DataFrame, text: str, id_column: str, keep: tuple[str, ...] = (), pattern: str = WORD_TOKEN) -> DataFrame:
+    """The text index: term, id, tf, dl (tokens of the row) and bucket, and the columns
+    `keep`; rows without tokens have none. Terms are counted before the shuffle."""
+    words = rows.select(id_column, *keep, tokens(F.col(text), pattern).alias("__w"))
+    each = words.select(id_column, *keep, F.size("__w").alias("dl"), F.explode("__w").alias("term"))
+    counted = each.groupBy("term", id_column, "dl", *keep).agg(F.count(F.lit(1)).alias("tf"))
+    return counted.withColumn("bucket", _bucket(F.col("term")))
+
+
+def text_stats(rows: DataFrame, text: str, pattern: str = WORD_TOKEN) -> DataFrame:
+    """One row: n (rows) and avgdl (their mean number of tokens)."""
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens(F.col(text), pattern)).cast("double")).alias("avgdl"))
+
+
+def bm25_indexed(index: DataFrame, stats: DataFrame, terms: list[str], id_column: str, limit: int = CANDIDATES, allowed: DataFrame | None = None) -> DataFrame:
+    """id and score of the `limit` rows best by BM25, from `postings` and `text_stats`: reads
+    only the postings of the terms. `allowed` (ids) limits the candidates, not the statistics."""
+    terms = sorted(set(terms))
+    if not terms:
+        return index.select(id_column, F.lit(0.0).alias("score")).limit(0)
+    buckets = [r[0] for r in index.sparkSession.createDataFrame([(t,) for t in terms], "t string").select(_bucket(F.col("t"))).distinct().collect()]
+    hits = index.where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
+    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a row per term of the query
+    hits = hits if allowed is None else hits.join(allowed.select(id_column), id_column, "left_semi")
+    joined = hits.join(F.broadcast(df), "term").join(F.broadcast(stats))
+    idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return joined.groupBy(id_column).agg(F.sum(part).alias("score")).orderBy(F.desc("score"), id_column).limit(limit)
+
+
 def rrf(arms: list[DataFrame], id_column: str, limit: int, k: int = RRF_K) -> DataFrame:
     """id and score of ranked arms (id, score; at most CANDIDATES rows each) fused."""
     rank = F.row_number().over(Window.orderBy(F.desc("score"), id_column)) - 1

@@ -27,6 +27,12 @@ def symbol_map(symbols: DataFrame, max_depth: int = 3) -> DataFrame:
     return symbols.groupBy(entry.alias("entry")).agg(F.sum(listed.cast("long")).alias("n_symbols"), F.countDistinct("file_path").alias("n_files"))
 
 
+def map_totals(symbols: DataFrame, max_depth: int = 3) -> DataFrame:
+    """One row: total_files, before deep ones come together, and total_symbols, those listed."""
+    listed = (F.size(F.split("file_path", "/")) <= max_depth + 1) & (F.col("scope_type") != "module")
+    return symbols.agg(F.countDistinct("file_path").alias("total_files"), F.coalesce(F.sum(listed.cast("long")), F.lit(0)).alias("total_symbols"))
+
+
 def map_lines(symbols: DataFrame, max_depth: int = 3) -> DataFrame:
     """The map's text lines in order: an entry, then its symbols as `  label name`."""
     parts = F.split("file_path", "/")

@@ -2,41 +2,23 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.refs import markdown_links, rationale_refs
 from textloom.functions.text import ASCII_TOKEN, slugify
 from textloom.operators import chunking, graph, resolve, search, summary
+from textloom.plans import workspace_queries  # noqa: F401  registers its queries
+from textloom.plans.registry import ORACLES, QUERIES, query, table  # noqa: F401
+from textloom.shared import shared_path, written
 from textloom.streaming.ingest import drain, windowed_counts
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 FLAGSHIP = "hybrid_rrf"
 
 #: The query of the search examples: terms and the vector of the first row.
 TERMS = ["the", "tion", "ing", "cióna"]
 
 
-def query(sql: str | None = None):
-    """Register a query under its function's name, with its SQL."""
-
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def first_vector(spark: SparkSession, sf_dir: str) -> list[float]:
     """The query vector: one row's."""
     return list(table(spark, sf_dir, "embeddings").where("vec_id = 0").first().embedding)
@@ -92,6 +74,26 @@ def bm25_prefiltered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.round("score", 6).alias("score"))
 
 
+def text_index(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The postings of documents and their statistics, as tables."""
+    return written(search.postings(docs, "text", "doc_id", pattern=ASCII_TOKEN), "postings"), written(search.text_stats(docs, "text", ASCII_TOKEN), "text-stats")
+
+
+@query(f"WITH {BM25_SQL} SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, doc_id LIMIT 50")
+def bm25_postings_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As bm25_topk, from a text index: its making is part of the query."""
+    found = search.bm25_indexed(*text_index(table(spark, sf_dir, "documents").select("doc_id", "text")), TERMS, "doc_id")
+    return found.select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {BM25_SQL} SELECT doc_id, round(score, 6) AS score FROM bm WHERE lang = 'es' AND starts_with(source, 'src1') ORDER BY bm.score DESC, doc_id LIMIT 50")
+def bm25_postings_prefiltered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    allowed = docs.where((F.col("lang") == "es") & F.col("source").startswith("src1"))
+    found = search.bm25_indexed(*text_index(docs.select("doc_id", "text")), TERMS, "doc_id", allowed=allowed)
+    return found.select("doc_id", F.round("score", 6).alias("score"))
+
+
 @query(f"""
 WITH {BM25_SQL}, {VECTOR_SQL},
 rows_in AS (SELECT doc_id FROM documents JOIN embeddings ON doc_id = vec_id WHERE lang = 'en'),
@@ -172,22 +174,8 @@ chunks AS (
   UNION ALL SELECT id, n, cur FROM run WHERE i = len(parts))
 """
 
-LINES_SQL = PACK_SQL.format(
-    source="src AS (SELECT doc_id AS id, list_filter(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN i < len(string_split(text, chr(10))) THEN x || chr(10) ELSE x END), lambda x: x <> '') AS parts FROM documents WHERE length(text) > 1000 AND contains(rtrim(text, chr(10)), chr(10)))",
-    between=0,
-    joint="",
-)
-
-
-@query(f"{LINES_SQL} SELECT id AS doc_id, CAST(n AS INTEGER) AS n, sha256(rtrim(chunk, chr(10))) AS chunk_sha256, length(rtrim(chunk, chr(10))) AS n_chars FROM chunks")
-def line_pack_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where((F.length("text") > 1000) & F.rtrim("text", F.lit("\n")).contains("\n"))
-    chunks = docs.select("doc_id", F.posexplode(chunking.line_chunks(F.col("text"))).alias("n", "chunk"))
-    return chunks.select("doc_id", "n", F.sha2("chunk", 256).alias("chunk_sha256"), F.length("chunk").cast("long").alias("n_chars"))
-
-
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
-ALL_LINES_SQL = PACK_SQL.format(
+LINES_SQL = PACK_SQL.format(
     source="cut AS (SELECT doc_id AS id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN i < len(string_split(text, chr(10))) THEN x || chr(10) ELSE x END), lambda x: x <> '') AS parts FROM documents WHERE text IS NOT NULL), src AS (SELECT id, parts FROM cut WHERE length(text) > 1000 AND len(parts) > 1)",
     between=0,
     joint="",
@@ -195,7 +183,7 @@ ALL_LINES_SQL = PACK_SQL.format(
 
 
 @query(f"""
-{ALL_LINES_SQL},
+{LINES_SQL},
 one AS (SELECT id, text, string_split_regex(regexp_replace(text, '({LINE_END})$', ''), '{LINE_END}') AS x FROM cut WHERE length(text) <= 1000 OR len(parts) <= 1),
 found AS (
   SELECT id, n, rtrim(chunk, chr(10)) AS chunk FROM chunks
@@ -203,8 +191,8 @@ found AS (
   SELECT id, 0, CASE WHEN length(text) > 1000 AND len(x) > 10 THEN array_to_string(list_concat(x[1:7], ['{chunking.CUT_MARK}'], x[-3:]), chr(10)) ELSE text END FROM one)
 SELECT id AS doc_id, CAST(n AS INTEGER) AS n, sha256(chunk) AS chunk_sha256, length(chunk) AS n_chars FROM found
 """)
-def line_pack_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As line_pack_chunks, of all documents: also short ones and those of a single line."""
+def line_pack_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: also short ones and those of a single line."""
     chunks = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.line_chunks(F.col("text"))).alias("n", "chunk"))
     return chunks.select("doc_id", "n", F.sha2("chunk", 256).alias("chunk_sha256"), F.length("chunk").cast("long").alias("n_chars"))
 
@@ -452,6 +440,41 @@ def graph_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.explain(*entity_graph(spark, sf_dir), "n:7")
 
 
+@query(f"WITH {ENTITY_SQL} SELECT DISTINCT a.kind AS edge_kind, id, n.kind AS kind, label, file_path FROM adj a JOIN nodes n ON id = neighbour WHERE node = 'n:7' ORDER BY label, id, edge_kind LIMIT 20")
+def graph_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.details(*entity_graph(spark, sf_dir), "n:7")
+
+
+@query(f"""
+WITH {ENTITY_SQL}, near AS (SELECT DISTINCT a.kind, label, id FROM adj a JOIN nodes n ON id = neighbour WHERE node = 'n:7')
+SELECT kind, string_agg(label || '=' || id, ',' ORDER BY label, id) AS neighbours FROM near GROUP BY kind
+""")
+def graph_neighbours_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = graph.by_kind(graph.explain(*entity_graph(spark, sf_dir), "n:7"))
+    return found.select("kind", F.array_join(F.transform("neighbours", lambda n: F.concat_ws("=", n["label"], n["id"])), ",").alias("neighbours"))
+
+
+@query(f"WITH {ENTITY_SQL} SELECT (SELECT count(*) FROM nodes) AS node_count, (SELECT count(*) FROM edges) AS edge_count")
+def graph_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.metrics(*entity_graph(spark, sf_dir))
+
+
+@query(f"""
+WITH {ENTITY_SQL}, shown AS (SELECT id FROM nodes WHERE kind IN ('file', 'symbol'))
+SELECT source, target, kind FROM edges WHERE kind IN ('cites', 'contains') AND source IN (SELECT id FROM shown) AND target IN (SELECT id FROM shown)
+""")
+def viewer_visible_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.visible(*entity_graph(spark, sf_dir), ["file", "symbol"], ["cites", "contains"])[1]
+
+
+@query(f"""
+WITH {ENTITY_SQL}, hit AS (SELECT id FROM nodes WHERE contains(lower(id), 'ani') OR contains(lower(label), 'ani'))
+SELECT id FROM hit UNION SELECT neighbour FROM adj WHERE node IN (SELECT id FROM hit)
+""")
+def viewer_search_1hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.search(*entity_graph(spark, sf_dir), "ANI")
+
+
 @query(f"""
 WITH RECURSIVE {ENTITY_SQL},
 walk AS (SELECT 'n:3' AS node, 0 AS hops UNION SELECT neighbour, hops + 1 FROM walk JOIN adj USING (node) WHERE hops < 4)
@@ -500,7 +523,7 @@ def staleness_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT epoch(date_trunc('hour', ts))::BIGINT AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def incremental_stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream that ends when all files have been read."""
-    root = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/textloom-shared'}/stream-{uuid.uuid4().hex}"
+    root = shared_path(spark, "stream")
     drain(spark, sf_dir, "events.parquet", f"{root}/checkpoint", windowed_counts, f"{root}/counts")
     counts = spark.read.parquet(f"{root}/counts")
     return counts.select(F.unix_timestamp("window_start").alias("window_start"), "event_type", "n")

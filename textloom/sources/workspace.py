@@ -57,9 +57,14 @@ def _walk(workspace: str, roots: list[str]) -> Iterator[tuple[str, float, int]]:
 def scan(spark: SparkSession, workspace: str, paths: list[str] | None = None) -> DataFrame:
     """path, mtime, size, language, and why a file isn't eligible (skipped; null: eligible)."""
     rows = sorted(set(_walk(workspace, scan_roots(workspace, paths))))
-    files = spark.createDataFrame(rows, FILES).withColumn("language", language(F.col("path")))
     ignore = Path(workspace) / IGNORE_FILE
     rules = ignore_rules(ignore.read_text("utf-8", "ignore")) if ignore.is_file() else []
+    return decided(spark.createDataFrame(rows, FILES), rules)
+
+
+def decided(files: DataFrame, rules: list[tuple[bool, str]]) -> DataFrame:
+    """`files` (path, size) with language, and why a file isn't eligible (null: it is)."""
+    files = files.withColumn("language", language(F.col("path")))
     why = F.when(is_ignored(F.col("path")) | matches_rules(F.col("path"), rules), "ignored").when(F.col("language").isNull(), "unsupported").when(F.col("size") > MOST_BYTES, "too big")
     return files.withColumn("skipped", why)
 

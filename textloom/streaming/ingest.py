@@ -17,12 +17,16 @@ def windowed_counts(events: DataFrame, time: str = "ts", kind: str = "event_type
 
 def drain(spark: SparkSession, folder: str, pattern: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame], sink: str, mode: str = "complete") -> None:
     """Read what is new among the Parquet files of `folder` through `transform` into the
-    Parquet table `sink`, batch by batch, and stop; `checkpoint` remembers what was read."""
+    Parquet table `sink`, batch by batch, and stop; `checkpoint` remembers what was read.
+
+    In complete mode a batch replaces the table, and state is kept for all windows. In
+    append mode a window is given out once the watermark has passed it, its state goes, and
+    each batch has a folder of its own, which a batch that is tried again replaces."""
     schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
 
-    def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(sink)
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(sink if mode == "complete" else f"{sink}/batch={number}")
 
     query = transform(stream).writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start()
     query.awaitTermination()
