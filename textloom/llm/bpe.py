@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textloom.llm.common import returned
+
 #: Words in a generation of a worker's memory, which holds two; bounds memory, not results.
 CACHE_WORDS = 400_000
 
@@ -180,6 +182,10 @@ class _Lately(dict):
             self.older = dict(self)
             self.clear()
 
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+
     def __missing__(self, key: str) -> bytes:
         value = self.older.get(key)
         if value is None:
@@ -221,6 +227,14 @@ def encode(docs: DataFrame, vocabulary: str, *, text: str = "text", ids: str | N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _load(SparkFiles.get(name))
+        with returned():
+            try:
+                yield from encoded(bpe, batches)
+            finally:  # the vocabulary stays for the next task, the words met don't
+                bpe.packed_words.forget()
+                bpe.packed_pieces.forget()
+
+    def encoded(bpe: WordBPE, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import written
+from textloom.llm.common import returned, written
 
 #: Rows of a block at least and at most; they bound a group, not what is compared.
 LEAST_BLOCK, MOST_BLOCK = 128, 20_000
@@ -87,6 +87,10 @@ def links(rows: DataFrame, bucket: str, node: str, near: Callable, most: int = M
     kind = rows.schema[node].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with returned():
+            yield from linked(batches)
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
         for batch, begins in whole_groups(batches, [bucket, "lo", "hi"]):
             nodes, own = batch.column(node).to_pylist(), batch.column("own").to_numpy()

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,3 +63,17 @@ def shuffle_width(spark: SparkSession) -> int:
 def word_count(text: Column) -> Column:
     """Number of words `[^\\x20\\x09-\\x0D]+` in a text column; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{WS}]+")), F.lit(0)).cast("long")
+
+
+@contextmanager
+def returned() -> Iterator[None]:
+    """Give a task's memory back when it ends: Spark keeps Python workers for the next tasks,
+    and what they hold on to counts as the executor's."""
+    try:
+        yield
+    finally:
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):
+            pass  # not every C library can

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import buckets
-from textloom.llm.common import WS, free_name, written
+from textloom.llm.common import WS, free_name, returned, written
 from textloom.llm.components import components
 from textloom.llm.url_filter import blooms, may_hold
 
@@ -129,6 +129,10 @@ class _Powers:
     def __init__(self) -> None:
         self.up = self.down = np.ones(1, np.uint64)
 
+    def forget(self) -> None:
+        """Keep no more than batches of usual lines need."""
+        self.up, self.down = (x[: 2 * BATCH_CHARS].copy() for x in (self.up, self.down))
+
     def first(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             size = max(n, 2 * len(self.up))
@@ -251,6 +255,12 @@ def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.
 
 def _real_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], list[bytes]]]:
     """Lines long enough to have near-equals, each once as far as the task remembers."""
+    with returned():
+        yield from _new_lines(batches)
+        _powers.forget()
+
+
+def _new_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], list[bytes]]]:
     seen, found, digests, size = _Seen(), [], [], 0
     for _, texts in _texts(batches, 0):
         for lines in texts:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import buckets
-from textloom.llm.common import WS, free_name, written
+from textloom.llm.common import WS, free_name, returned, written
 from textloom.llm.components import components
 
 #: Fixed values of the contract: words a shingle, hash seed, differing bits of a link.
@@ -193,6 +193,10 @@ def set_fingerprints(docs: DataFrame, key: str, text: str, shingle: int, seed: i
     every row, and h (hashes of the shingles) of rows that have `most` of them or fewer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with returned():
+            yield from made_of(batches)
+
+    def made_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 batch = whole.slice(start, 512)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import free_name
+from textloom.llm.common import free_name, returned
 from textloom.llm.wordtable import WordTable, feature_slots, letters, sums, words_of
 
 #: Bounds of the training sample: toxic documents, chosen by hash over all, how many times as
@@ -258,6 +258,10 @@ def scored(docs: DataFrame, model: Model, *, text: str = "text", score: str = "s
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(score, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with returned():
+            yield from judged(batches)
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         words = own.table()
         for whole in batches:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 import numpy as np
 
 #: Words a worker remembers before it starts anew; bounds memory, not results.
-MOST_WORDS = 500_000
+MOST_WORDS = 250_000
 
 #: Longer words are split at what isn't a letter, and longer runs of letters into pieces of
 #: PIECE, which the affix features cover whole.
