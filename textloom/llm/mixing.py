@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import WS, free_name, word_count, written
 
-#: Ranges of the random key (hexadecimal) within a source: 16 ** RANGE_DIGITS.
-RANGE_DIGITS = 3
+#: Hexadecimal digits of the random key that name a range within a source, at least, and the
+#: rows of a range at most, on average: more rows take more digits. Results don't depend on it.
+RANGE_DIGITS, RANGE_ROWS = 3, 20_000
 #: Weights of the sources in code point order (null last), repeating.
 WEIGHTS = (5, 2, 1)
 #: What the mix holds, as a share of all sizes, and the most epochs of a source.
@@ -45,20 +46,31 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int
     return ranked.select("none", "name", "source_size", target.alias("target"))
 
 
+def range_digits(rows: int) -> int:
+    """Digits of a range's name, so many that `rows` of one source make ranges of RANGE_ROWS."""
+    digits = RANGE_DIGITS
+    while rows > 16**digits * RANGE_ROWS:
+        digits += 1
+    return digits
+
+
 def assign(docs: DataFrame, *, key: str, source: str, size: str, weights=WEIGHTS, share: float = SHARE, epochs: int = MOST_EPOCHS, seed: int = 0) -> DataFrame:
     """`docs` with source_size, target and taken (size units that the mix takes) added.
 
-    Reruns agree: the order is that of the MD5 of `seed` and `key`, ties by `key`, then `size`. A null source is a
-    source of its own; rows of size 0 take 0. The added columns replace columns of those
-    names.
+    Reruns agree: the order is that of the MD5 of `seed` and `key`, ties by `key`, then `size`.
+    Rows with a null key are ordered by a hash of all their columns instead, so that many of
+    them spread over the ranges. A null source is a source of its own; rows of size 0 take 0.
+    The added columns replace columns of those names.
     """
     docs = docs.drop("source_size", "target", "taken")
     none, name, rand, part = (free_name(docs, x) for x in ("none", "name", "rand", "range"))
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    order = F.when(F.col(f"`{key}`").isNull(), F.xxhash64(F.lit("null"), *hashed).cast("string")).otherwise(F.col(f"`{key}`").cast("string"))
     keyed = docs.withColumns({
         none: F.col(f"`{source}`").isNull(),
         name: F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")),
-        rand: F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(f"`{key}`").cast("string"))), 1, 16),
-    }).withColumn(part, F.substring(rand, 1, RANGE_DIGITS))
+        rand: F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), order)), 1, 16),
+    }).withColumn(part, F.substring(rand, 1, range_digits(docs.count())))
     sums = written(keyed.groupBy(F.col(none).alias("none"), F.col(name).alias("name"), F.col(part).alias("range")).agg(F.sum(size).alias("range_size")), "range-sums")
     budget = targets(sums.groupBy("none", "name").agg(F.sum("range_size").alias("source_size")), weights, share, epochs)
     upward = Window.partitionBy("none", "name").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
