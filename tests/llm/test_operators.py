@@ -57,6 +57,20 @@ def test_url_filter(spark):
     assert {r.verdict for r in url_filter.judge(pages, rules.limit(0)).collect()} == {"allow"}
 
 
+def test_url_filter_of_many_shapes_and_odd_rows(spark):
+    """Rules of many path lengths in one plan; repeated rows, null ids, rules of equal length."""
+    rules = [("site.org", "/" + "d" * n, "block" if n % 2 else "allow") for n in range(300)] + [("a.site.org", "/dd", "allow"), ("site.org", "/ddaa", "block"), ("x.site.org", "/d", "allow")]
+    urls = [(i, f"http://{h}/{'d' * (i % 350)}/t") for i, h in enumerate(["site.org", "a.site.org", "x.site.org", ".site.org", "site.org.", "org"] * 60)]
+    urls += [(None, "http://site.org/d"), (None, "http://site.org/d"), (None, None), (1, "http://" + "a." * 5000 + "site.org/d")]
+    got = url_filter.judge(spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame(rules, "host string, path string, verdict string")).collect()
+    wanted = []
+    for i, url in urls:
+        host, path = (url.split("://")[1].split("/", 1)[0], "/" + url.split("://")[1].split("/", 1)[1]) if url else ("", "")
+        fits = [(len(h + p), len(h), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        wanted.append((i, host, path, *(max(fits)[2:] if fits else (None, "allow"))))
+    assert Counter(map(tuple, got)) == Counter(wanted)
+
+
 def test_bloom_has_no_false_negatives(spark):
     h = spark.range(5000).select(F.xxhash64("id").alias("h"))
     filled, _ = url_filter.blooms(h)
@@ -205,6 +219,20 @@ def test_mixing(spark):
     assert mixing.mix(docs(spark, [])).count() == 0 and mixing.assign(mixing.sizes(docs(spark, ODD)), key="doc_id", source="source", size="size").count() == len(ODD)
 
 
+def test_mixing_of_null_keys_and_ranges(spark, monkeypatch):
+    rows = [(None, "w " * (i % 9), f"s{i % 2}") for i in range(400)] + [(i, "w " * (i % 5), "s0") for i in range(100)]
+    sized = mixing.sizes(docs(spark, rows))
+    run = lambda d: Counter(map(tuple, mixing.assign(d, key="doc_id", source="source", size="size").collect()))
+    few = run(sized)
+    assert sum(few.values()) == 500 and few == run(sized.repartition(5))
+    for _, source, _, told, target, _ in few:
+        assert abs(sum(r[5] * n for r, n in few.items() if r[1] == source) - target) <= 0.5 + 1e-6
+    monkeypatch.setattr(mixing, "RANGE_DIGITS", 1)
+    assert run(sized) == few  # however many ranges
+    assert [mixing.range_digits(n) for n in (0, 16 * 20_000, 16 * 20_000 + 1)] == [1, 1, 2]
+    assert run(sized.limit(0)) == Counter()
+
+
 def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(0)
     emission, counts = rng.normal(size=(205, 3)), np.array([0, 130, 1, 0, 64, 10])

@@ -3,7 +3,8 @@
 Rules are canonical URLs: a host (which also stands for its subdomains) and the start of a
 path. A page's URL can only fit rules that have the shape of a suffix of its host and a
 prefix of its path, so it is probed once for each shape among the rules (labels of the host,
-length of the path): few, however many rules there are. A split-block Bloom filter (256-bit
+length of the path), which meet it in a join: few, however many rules there are, and the plan
+doesn't grow with them. A split-block Bloom filter (256-bit
 blocks, one bit in each of eight words, all probes in one cache line) lets through what may
 be listed; an exact hash join on (host, path) removes its false positives.
 """
@@ -75,15 +76,16 @@ def judge(pages: DataFrame, rules: DataFrame, *, key: str = "page_id", url: str
     """
     listed = rules.dropna(subset=["host", "path", "verdict"]).groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
     listed = written(listed.where("host <> ''"), "rules").withColumn("h", F.xxhash64("host", "path"))
-    shapes = [(r[0], r[1]) for r in listed.select(F.size(F.split("host", r"\.")), F.length("path")).distinct().orderBy(F.lit(1)).collect()]
+    shapes = written(listed.select(F.size(F.split("host", r"\.")).alias("n"), F.length("path").alias("p")).distinct(), "rule-shapes")
+    most = shapes.agg(F.max("n")).first()[0]
     rows = written(pages.select(F.col(f"`{key}`").alias("key"), F.monotonically_increasing_id().alias("at"), host_of(F.col(f"`{url}`")).alias("host"), path_of(F.col(f"`{url}`")).alias("path")), "urls")
-    if not shapes:
+    if most is None:
         best = rows.select("key", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
         return best.withColumnRenamed("key", key)
-    labels = F.split("host", r"\.")
-    suffix = lambda n: F.when(F.size(labels) >= n, F.substring_index("host", ".", -n))
-    probes = [F.when((suffix(n) != "") & (F.length("path") >= p), F.struct(suffix(n).alias("host"), F.substring("path", 1, p).alias("path"))) for n, p in shapes]
-    probed = rows.select("at", F.explode(F.array_compact(F.array(*probes))).alias("c")).select("at", "c.host", "c.path")
+    # Labels of a suffix: as many as the host has, but no more than any rule's.
+    labels = F.sequence(F.lit(1), F.least(F.lit(most), F.size(F.split("host", r"\."))))
+    probed = rows.select("at", "host", "path", F.explode(labels).alias("n")).join(shapes, "n").where("p <= length(path)")
+    probed = probed.select("at", F.expr("substring_index(host, '.', -n)").alias("host"), F.expr("substring(path, 1, p)").alias("path")).where("host <> ''")
     probed = probed.withColumn("h", F.xxhash64("host", "path"))
     filled = rows.sparkSession.sparkContext.broadcast(blooms(listed)[0])
 
