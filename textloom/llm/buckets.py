@@ -23,6 +23,8 @@ from textloom.llm.common import returned, written
 LEAST_BLOCK, MOST_BLOCK = 128, 20_000
 #: Rows a task remembers as connected before it starts anew; bounds memory, not results.
 MOST_NODES = 2_000_000
+#: Groups of so many rows at most are compared in bulk, all groups of a batch at once.
+SMALL = 16
 
 
 class Forest(dict):
@@ -78,11 +80,27 @@ def _begins(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _small_pairs(begins: np.ndarray, likely: Callable) -> list[list[int]]:
+    """Rows (y, x), x before y, that may be near in groups of SMALL rows at most; in order."""
+    size = np.diff(begins)
+    nth = np.arange(begins[-1]) - np.repeat(begins[:-1], size)
+    nth[np.repeat(size > SMALL, size)] = 0
+    found = [np.empty((0, 2), np.int64)]
+    for apart in range(1, SMALL):
+        y = np.flatnonzero(nth >= apart)
+        if not len(y):
+            break
+        x = likely(y - apart, y)
+        found.append(np.stack([x + apart, x], 1))
+    pairs = np.concatenate(found)
+    return pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))].tolist()
+
+
 def links(rows: DataFrame, bucket: str, node: str, near: Callable, most: int = MOST_BLOCK) -> DataFrame:
     """x, y: a forest over the nodes of `rows` that connects all near ones of a bucket.
 
-    `near(batch)` gives `likely(at, y)` (which of the rows `at` may be near row y, in bulk)
-    and `sure(x, y)` (whether they are), on the rows of a batch. `most` bounds a block.
+    `near(batch)` gives `likely(at, y)` (which of the rows `at` may be near row y, or each near
+    its own one if y is an array, in bulk) and `sure(x, y)` (whether they are), on the rows of a batch. `most` bounds a block.
     """
     kind = rows.schema[node].dataType.simpleString()
 
@@ -99,8 +117,12 @@ def links(rows: DataFrame, bucket: str, node: str, near: Callable, most: int = M
             if len(forest) > MOST_NODES:
                 forest.clear()
             found: list[tuple] = []
+            for y, x in _small_pairs(begins, likely):
+                if (within[x] or own[x] != own[y]) and forest.root(nodes[x]) != forest.root(nodes[y]) and sure(x, y):
+                    found.append((nodes[x], nodes[y]))
+                    forest.join(nodes[x], nodes[y])
             for a, b in zip(begins[:-1].tolist(), begins[1:].tolist()):
-                if b - a < 2:
+                if b - a <= SMALL:
                     continue
                 # Labels of the trees that the group's nodes are in at present.
                 numbers: dict = {}

@@ -337,7 +337,7 @@ def _near(batch: pa.RecordBatch):
     chars, words, char_mark, word_mark, own = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("chars", "words", "char_mark", "word_mark", "own_key"))
     content = batch.column("content")
 
-    def likely(at: np.ndarray, y: int) -> np.ndarray:
+    def likely(at: np.ndarray, y: int | np.ndarray) -> np.ndarray:
         near = np.zeros(len(at), bool)
         for size, mark, most in ((chars, char_mark, CHARS), (words, word_mark, WORDS)):
             k = np.minimum(most, np.minimum(size[at], size[y]) // EACH)

@@ -226,11 +226,12 @@ def _near_sets(similarity: float):
         words = np.stack([batch.column(w).to_numpy() for w in _WORDS])
         n = batch.column("n").to_numpy()
 
-        def likely(at: np.ndarray, y: int) -> np.ndarray:
+        def likely(at: np.ndarray, y: int | np.ndarray) -> np.ndarray:
             least, largest = np.minimum(n[at], n[y]), np.maximum(n[at], n[y])
-            at = at[least >= similarity * largest - 1e-9]
-            bits = np.bitwise_count((words[:, at] ^ words[:, y, None]).view(np.uint64)).sum(0)
-            return at[(bits <= most) | (np.minimum(n[at], n[y]) <= EXACT)]
+            fits = least >= similarity * largest - 1e-9
+            at, least, y = at[fits], least[fits], y[fits] if np.ndim(y) else y
+            bits = np.bitwise_count((words[:, at] ^ words[:, y].reshape(WORDS, -1)).view(np.uint64)).sum(0)
+            return at[(bits <= most) | (least <= EXACT)]
 
         return likely, lambda x, y: True
 
@@ -276,7 +277,7 @@ def close_small_sets(sets: DataFrame, similarity: float = SIMILARITY) -> DataFra
     def compare(batch: pa.RecordBatch):
         n, place = batch.column("n").to_numpy(), batch.column("at").to_numpy()
 
-        def likely(at: np.ndarray, y: int) -> np.ndarray:
+        def likely(at: np.ndarray, y: int | np.ndarray) -> np.ndarray:
             least, largest = np.minimum(n[at], n[y]), np.maximum(n[at], n[y])
             room = np.minimum(n[at] - place[at], n[y] - place[y])
             return at[(least <= EXACT) & (least >= similarity * largest - 1e-9) & (room >= similarity / (1 + similarity) * (n[at] + n[y]) - 1e-9)]
