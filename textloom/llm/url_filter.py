@@ -56,10 +56,14 @@ def blooms(rules: DataFrame) -> tuple[np.ndarray, int]:
 def may_hold(filled: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Whether each hash may be in the filter; never false for one that is."""
     h = hashes.view(np.uint64)
-    block = filled[(h >> np.uint64(32)) % np.uint64(len(filled))]
-    low = (h & np.uint64(0x7FFFFFFF))[:, None]  # 31 bits: products stay below 2 ** 63
-    bit = ((low * np.array(SALTS, np.uint64)) & np.uint64(0xFFFFFFFF)) >> np.uint64(27)
-    return ((block >> bit.astype(np.uint32)) & 1).all(1)
+    block, low = (h >> np.uint64(32)) % np.uint64(len(filled)), h & np.uint64(0x7FFFFFFF)  # 31 bits: products stay below 2 ** 63
+    left = np.arange(len(h))  # what all words so far have: few go on to the next
+    for word, salt in zip(filled.T, SALTS):
+        bit = ((low[left] * np.uint64(salt)) & np.uint64(0xFFFFFFFF)) >> np.uint64(27)
+        left = left[(word[block[left]] >> bit.astype(np.uint32)) & 1 == 1]
+    found = np.zeros(len(h), bool)
+    found[left] = True
+    return found
 
 
 def judge(pages: DataFrame, rules: DataFrame, *, key: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
