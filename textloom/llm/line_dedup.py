@@ -144,8 +144,11 @@ _powers = _Powers()
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return (h ^ (h >> np.uint64(29))) * np.uint64(_BASE)
+    h = h ^ (h >> np.uint64(32))
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(_BASE)
+    return h
 
 
 class Hashed:
@@ -154,7 +157,10 @@ class Hashed:
     def __init__(self, symbols: np.ndarray) -> None:
         up, self.down = _powers.first(len(symbols) + 1)
         self.sums = np.zeros(len(symbols) + 1, np.uint64)
-        np.cumsum((symbols + np.uint64(1)) * up[:-1], out=self.sums[1:])
+        sums = self.sums[1:]
+        np.add(symbols, np.uint64(1), out=sums)
+        sums *= up[:-1]
+        np.cumsum(sums, out=sums)
 
     def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         return _mixed((self.sums[end] - self.sums[begin]) * self.down[begin])
@@ -167,9 +173,9 @@ class Lines:
         self.text = np.frombuffer(("\n".join(lines) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
         self.chars = np.fromiter(map(len, lines), np.int64, len(lines))
         self.first = np.cumsum(self.chars + 1) - self.chars - 1
-        self.by_char = Hashed(self.text.astype(np.uint64))
-        blank = (self.text == 32) | ((self.text >= 9) & (self.text <= 13))
-        change = np.flatnonzero(np.diff(blank, prepend=True))
+        self.by_char = Hashed(self.text)
+        blank = (self.text == 32) | (self.text - np.uint32(9) <= 4)  # below 9 it wraps
+        change = np.flatnonzero(blank != np.append(True, blank[:-1]))
         begin, end = change[::2], change[1::2]  # a line end closes every word
         self.word_hashes = self.by_char.of(begin, end)
         self.first_word = np.searchsorted(begin, self.first)
@@ -195,12 +201,12 @@ class Lines:
                         continue
                     segment = least[near[at]] // (k + 1)
                     tag = _mixed((near[at] * 2 + kind).astype(np.uint64))
-                    for i, shift in selection(k):
-                        begin = i * segment + shift
-                        fits = (begin >= 0) & (begin + segment <= size[at])
-                        to = first[at[fits]] + begin[fits]
-                        key = _mixed(hashed.of(to, to + segment[fits]) ^ tag[fits] ^ np.uint64(i))
-                        parts.append((key, at[fits], np.full(len(key), not shift and not lower)))
+                    i, shift = np.array(selection(k)).T
+                    begin = np.multiply.outer(i, segment) + shift[:, None]
+                    nth, of = np.nonzero((begin >= 0) & (begin + segment <= size[at]))
+                    to = first[at[of]] + begin[nth, of]
+                    key = _mixed(hashed.of(to, to + segment[of]) ^ tag[of] ^ i[nth].astype(np.uint64))
+                    parts.append((key, at[of], (shift[nth] == 0) & (not lower)))
         key, line, own = (np.concatenate(x) for x in zip(*parts))
         return key.view(np.int64), line, own
 
