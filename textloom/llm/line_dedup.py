@@ -40,7 +40,9 @@ SEEN_LINES = 200_000
 #: Characters whose hashes are made at once (a longer line is one batch); bounds memory.
 BATCH_CHARS = 1 << 19
 
+#: What a blank line consists of; for bytes, what `isspace` and `strip` take.
 BLANK = " \t\n\x0b\x0c\r"
+_digest = xxhash.xxh3_128_digest
 _split = re.compile(f"[^{WS}]+").findall
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -231,10 +233,6 @@ def near_lines_of(a: str, b: str) -> bool:
     return k > 0 and abs(len(a) - len(b)) <= k and edit_distance(a, b, k) <= k
 
 
-def _digest(line: str) -> bytes:
-    return xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
-
-
 def _ids(digests: list[bytes]) -> np.ndarray:
     """The first half of each digest as a number."""
     return np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)[:, 0] if digests else np.empty(0, np.int64)
@@ -252,11 +250,12 @@ class _Seen(set):
         return True
 
 
-def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[list[str]]]]:
+def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
+    """Slices of the batches, and the lines of their texts in UTF-8."""
     for whole in batches:
         for begin in range(0, whole.num_rows, 128):
             batch = whole.slice(begin, 128)
-            yield batch, [t.split("\n") if t is not None else [] for t in batch.column(column).to_pylist()]
+            yield batch, [t.split(b"\n") if t is not None else [] for t in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
 def _real_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], list[bytes]]]:
@@ -271,10 +270,10 @@ def _new_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], l
     for _, texts in _texts(batches, 0):
         for lines in texts:
             for line in lines:
-                if len(line) >= EACH and line.strip(BLANK) and seen.new(d := _digest(line)):
-                    found.append(line)
+                if len(line) >= EACH and not line.isspace() and seen.new(d := _digest(line)) and len(content := line.decode()) >= EACH:
+                    found.append(content)
                     digests.append(d)
-                    size += len(line)
+                    size += len(content)
                     if size >= BATCH_CHARS:
                         yield found, digests
                         found, digests, size = [], [], 0
@@ -295,7 +294,7 @@ def line_table(docs: DataFrame, key: str, text: str) -> DataFrame:
         for batch, texts in _texts(batches, 2):
             counts = [len(x) for x in texts]
             at = np.repeat(np.arange(len(counts)), counts)
-            digests = [_digest(line) if line.strip(BLANK) else None for lines in texts for line in lines]
+            digests = [_digest(line) if line.strip() else None for lines in texts for line in lines]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array([i for n in counts for i in range(n)], pa.int32()), pa.array(digests, pa.binary())],
                 names=["key", "t", "no", "line"],
