@@ -330,6 +330,21 @@ def test_links_are_complete(spark):
     assert all(((r.x ^ r.y) & (1 << 64) - 1).bit_count() <= 4 for r in found)
 
 
+def plan_of(monkeypatch, label, run):
+    """The plan by which `run` makes the table `label`."""
+    plans, keep = [], simhash.written
+    monkeypatch.setattr(simhash, "written", lambda df, at: plans.append((at, df._jdf.queryExecution().executedPlan().toString())) or keep(df, at))
+    run()
+    return next(plan for at, plan in plans if at == label)
+
+
+def test_the_index_of_sets_is_not_broadcast(spark, monkeypatch):
+    # As a table this is small enough to broadcast; of its 192 variants a row Spark's estimate knows nothing.
+    sets = simhash.written(spark.range(200).selectExpr("id s", "id w0", "-id w1", "id * 7 w2", "100L n"), "sets")
+    plan = plan_of(monkeypatch, "met-sets", lambda: simhash.close_sets(sets))
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_similar(spark):
     rng = random.Random(5)
     vocabulary = [f"v{i}" for i in range(2000)]

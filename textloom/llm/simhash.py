@@ -111,7 +111,9 @@ def met(rows: DataFrame, node: str, cuts: list[tuple[str, int, int]], near: Colu
     `cuts` are segments: word column, first bit, width. A segment has a variant for each of
     its bits, that bit cleared and named in the variant, so segments that differ in one bit
     or none have a variant in common. Rows meet in a semi-join: a row comes at most once per
-    variant however many are near it. `near` compares aliases l and r.
+    variant however many are near it. `near` compares aliases l and r. The join is always
+    by shuffle: Spark's estimate of a table's size doesn't count the rows that `explode` makes,
+    so without the hint it would build the whole index in the driver to broadcast it.
     """
     width = max(w for _, _, w in cuts)
     variants, bit = [], 0
@@ -122,7 +124,7 @@ def met(rows: DataFrame, node: str, cuts: list[tuple[str, int, int]], near: Colu
             bit += 1
     index = rows.select("*", F.explode(F.array(*map(F.expr, variants))).alias("variant"))
     same = (F.col("l.variant") == F.col("r.variant")) & (F.col(f"l.{node}") != F.col(f"r.{node}"))
-    return index.alias("l").join(index.alias("r"), same & near, "left_semi")
+    return index.alias("l").join(index.alias("r").hint("merge"), same & near, "left_semi")
 
 
 def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
