@@ -345,6 +345,12 @@ def test_the_index_of_sets_is_not_broadcast(spark, monkeypatch):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_the_index_of_fingerprints_is_not_broadcast(spark, monkeypatch):
+    distinct = simhash.written(spark.range(200).selectExpr("id * 1234567891011 fp"), "fingerprints")
+    plan = plan_of(monkeypatch, "met-fingerprints", lambda: simhash.links(distinct))
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_similar(spark):
     rng = random.Random(5)
     vocabulary = [f"v{i}" for i in range(2000)]
